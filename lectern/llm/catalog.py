@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import exact_dedup, sstable
+from lectern.llm import exact_dedup, mixing, packing, secrets, sstable, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sstable": sstable.query,
         "op2_exact_dedup": exact_dedup.query,
+        "op3_secrets": secrets.query,
+        "op4_toxicity": toxicity.query,
+        "op5_mixing": mixing.query,
+        "op8_packing": packing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.SQL}
+    return {"op2_exact_dedup": exact_dedup.SQL, "op5_mixing": mixing.SQL}
