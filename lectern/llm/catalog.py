@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import exact_dedup, mixing, packing, secrets, sstable, toxicity
+from lectern.llm import exact_dedup, html_text, mixing, packing, secrets, sstable, toxicity, weighted_sampling
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,7 +16,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secrets": secrets.query,
         "op4_toxicity": toxicity.query,
         "op5_mixing": mixing.query,
+        "op7_weighted_sampling": weighted_sampling.query,
         "op8_packing": packing.query,
+        "op9_html_text": html_text.query,
     }
 
 
