@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import exact_dedup, html_text, mixing, packing, secrets, sstable, toxicity, weighted_sampling
+from lectern.llm import exact_dedup, html_text, jaccard_join, mixing, packing, secrets, sstable, toxicity, weighted_sampling
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_weighted_sampling": weighted_sampling.query,
         "op8_packing": packing.query,
         "op9_html_text": html_text.query,
+        "op10_jaccard_join": jaccard_join.query,
     }
 
 
