@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import exact_dedup, html_text, jaccard_join, mixing, packing, secrets, sstable, toxicity, weighted_sampling
+import corpus_pipeline
+from lectern.llm import compact_windows, exact_dedup, html_text, jaccard_join, mixing, packing, secrets, sstable, toxicity, weighted_sampling
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,10 +17,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secrets": secrets.query,
         "op4_toxicity": toxicity.query,
         "op5_mixing": mixing.query,
+        "op6_compact_windows": compact_windows.query,
         "op7_weighted_sampling": weighted_sampling.query,
         "op8_packing": packing.query,
         "op9_html_text": html_text.query,
         "op10_jaccard_join": jaccard_join.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 

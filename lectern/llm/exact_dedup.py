@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -39,10 +39,12 @@ def exact_groups(docs: DataFrame, hashed=content_hash, largest: bool = False) ->
 def drop_copies(docs: DataFrame, largest: bool = False) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows equal in doc_id and text the first by its other columns."""
     names = docs.columns
-    verdict = exact_groups(docs, largest=largest).where("kept").select(F.col("doc_id").alias("__k"), F.col("text_sha256").alias("__s"))
-    mine = docs.withColumn("__s", F.sha2(_body(), 256)).withColumn("__id", F.col("doc_id"))
-    met = mine.join(verdict, mine["__id"].eqNullSafe(verdict["__k"]) & (mine["__s"] == verdict["__s"]), "left_semi")
-    return met.dropDuplicates(["__id", "__s"]).select(*[F.col(f"`{c}`") for c in names])
+    null_id = F.lit(-(1 << 63))  # joins and windows then share one way of dealing out rows
+    verdict = exact_groups(docs, largest=largest).where("kept").select(F.coalesce("doc_id", null_id).alias("__k"), F.col("text_sha256").alias("__s"))
+    mine = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.coalesce("doc_id", null_id).alias("__k"), F.sha2(_body(), 256).alias("__s"))
+    others = [F.col(f"__row.`{c}`").cast("string") for c in names if c not in ("doc_id", "text")] or [F.lit(0)]
+    met = mine.join(verdict, ["__k", "__s"], "left_semi").withColumn("__i", F.row_number().over(Window.partitionBy("__k", "__s").orderBy(*others)))
+    return met.where("__i = 1").select(*[F.col(f"__row.`{c}`").alias(c) for c in names])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
