@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lectern import registry
-from lectern.plans import text_queries  # noqa: F401  (registers its queries)
+from lectern.plans import evidence_queries, index_queries, search_queries, text_queries  # noqa: F401  (they register their queries)
 
 
 def queries() -> dict[str, registry.Query]:

@@ -28,7 +28,7 @@ def fold(text: Column) -> Column:
 
 def clean(text: Column) -> Column:
     """No-break spaces to spaces, no zero-width spaces, dot leaders before a last page number to a space, blanks and empty lines collapsed."""
-    x = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit(" ")), F.lit("​"), F.lit(""))
+    x = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\u00a0"), F.lit(" ")), F.lit("\u200b"), F.lit(""))
     x = F.regexp_replace(x, r"\.{4,}(\s*([A-Z]-)?[0-9]+(-[0-9]+)?\s*)$", " $1")
     x = F.regexp_replace(F.regexp_replace(x, "[ \t]+", " "), "\n{3,}", "\n\n")
     return F.regexp_replace(x, r"^\s+|\s+$", "")

@@ -124,18 +124,18 @@ def stream_chunks(spark, d):
 
 @query("""
 SELECT item_id, CAST(w AS BIGINT) AS part, array_to_string(words[(w * 12 + 1):(w * 12 + 12)], ' ') AS body,
-       lag(w) OVER (PARTITION BY item_id ORDER BY w) AS previous, lead(w) OVER (PARTITION BY item_id ORDER BY w) AS next
+       coalesce(lag(w) OVER (PARTITION BY item_id ORDER BY w), -1) AS previous, coalesce(lead(w) OVER (PARTITION BY item_id ORDER BY w), -1) AS next
 FROM (SELECT item_id, words, unnest(range(0, CAST(ceil(len(words) / 12.0) AS BIGINT))) AS w
       FROM (SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS words FROM benchmark))""")
 def word_chunks(spark, d):
-    """Slices of twelve words with links to the slices beside them."""
+    """Slices of twelve words with the numbers of the slices beside them, -1 at the ends."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("item_id").orderBy("part")
     items = table(spark, d, "benchmark").select("item_id", F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("words"))
     cut = items.where(F.size("words") > 0).select("item_id", "words", F.explode(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / 12).cast("int"))).alias("p"))
     rows = cut.select("item_id", _long(F.col("p")).alias("part"), F.array_join(F.slice("words", F.col("p") * 12 + 1, F.lit(12)), " ").alias("body"))
-    return rows.withColumn("previous", F.lag("part").over(w)).withColumn("next", F.lead("part").over(w))
+    return rows.withColumn("previous", F.coalesce(F.lag("part").over(w), F.lit(-1))).withColumn("next", F.coalesce(F.lead("part").over(w), F.lit(-1)))
 
 
 HEADINGS = [
