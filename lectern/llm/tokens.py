@@ -18,10 +18,10 @@ import pyarrow.compute as pc
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _WS_RE2 = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
-#: Entries of the memo, and the longest chunk it keeps: about 250 MB for a Python worker.
-MEMO, MEMO_CHARS = 1_000_000, 48
+#: Entries of the memo, and the longest chunk it keeps (longer ones seldom come again): about 300 MB for a Python worker.
+MEMO, MEMO_CHARS = 1_500_000, 12
 #: Characters encoded at a time.
-GROUP_CHARS = 8_000_000
+GROUP_CHARS = 16_000_000
 
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
 
