@@ -110,7 +110,11 @@ def findings(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> D
     spans = F.coalesce(F.col("spans"), F.array().cast("array<struct<start:bigint,k:int,end:bigint,rule:string>>"))
     met = rows.join(found, "blob", "left").withColumn("spans", spans)
     base = F.filter("spans", lambda s: s["k"] < BASE)
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["k"] == k)).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(rules[:BASE])]
+
+    def count(k: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["k"] == k)).cast("long")
+
+    counts = [count(k).alias(f"n_{r.kind}") for k, r in enumerate(rules[:BASE])]
     return met.select("doc_id", *counts, F.sha2(_joined(base, rules), 256).alias("base_sha256"), _joined(F.col("spans"), rules).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
