@@ -3,20 +3,31 @@
 Two documents link when 100 |A and B| >= 75 |A or B| over their sets of five-word
 shingles. Then the first |A| - ceil(0.75 |A|) + 1 shingles of A, in any order that
 all documents share, and as many of B, have one in common: its prefix is all of a
-document that the matrix has to know. The order puts shingles that very many
-documents hold last, by a sketch of fixed size over all shingles, and goes by hash
-otherwise; the order decides how much work there is, never what links.
+document that the matrix has to know. The order goes by how many documents hold a
+shingle, as a sketch of fixed size over all shingles tells it, and then by hash; it
+decides how much work there is, never what links.
 
 1. Documents with the same set are one node.
-2. Nodes that hold a prefix shingle are compared with the first of them; those that
-   link are put into groups, which are connected.
-3. The matrix has, for each shingle and group, the union of its members' prefixes
-   with bounds of their sizes and places. Shingles of one group need no more work.
-   For the others a node's overlap with a group is bounded, and the group is opened
-   only where the bound allows a link: the node is compared with those members that
-   hold the shingle.
-
-What remains apart has no link: every pair that could link in two groups was opened.
+2. Nodes that share prefix shingles with the first node that holds them are compared
+   with it, then with the one of which most shingles are held by others too; those
+   that link are put into groups, which are connected. A round has at most a pair for
+   each row.
+3. The matrix has, for each shingle and group, the union of its members' prefixes,
+   and bounds of the members' sizes. Shingles of one group need no more work. For the
+   others a node's overlap with any member of a group is bounded, and the group is
+   opened only where the bound allows a link: the node meets those members that hold
+   the shingle, the same bound is taken for each, and what is left is compared by the
+   whole sets.
+
+The bound: of two prefixes one ends first in the common order. Up to there all common
+shingles are common to the prefixes, and behind it that node has only the n - p
+shingles left that its prefix of p leaves out. So two nodes have at most c + n - p in
+common, where c counts common prefix shingles and n, p are those of the node whose
+prefix ends first; and at most its reach, which has for c all its prefix shingles that
+any other prefix holds. Their first common shingle leaves each of them room for the
+others behind it: as many held shingles as its prefix has after it, so that c is at
+most one more than the smaller room. What remains apart has no link: every pair that
+could link in two groups was opened.
 """
 
 from __future__ import annotations
@@ -26,20 +37,21 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import components, scratch, shingles, tokens
 
 PERCENT = 75
-#: Counters of the sketch, whatever the input; how far above the mean a shingle counts as held by very many.
+#: Counters of the sketch, whatever the input.
 COUNTERS, BLOCK = 1 << 22, 1 << 18
-MEAN_TIMES, MEAN_PLUS = 2.0, 48
 #: Pairs with one first node that are compared together.
 TOGETHER = 512
 _NULL_ID = -(1 << 63)
 _SET = "kind int, k long, n long, node long, proof long, block int, counts binary"
-_ROW = "token long, node long, n int, pos int"
+_ROW = "token long, node long, n int, end long, pos int"
+#: Rows that may be sent to every executor; beyond, the join shuffles.
+FEW = 200_000
 
 
 def _node(s: np.ndarray) -> tuple[int, int]:
@@ -101,43 +113,41 @@ def _sketch(found: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((sketch, MEAN_TIMES * float(sketch.mean()) + MEAN_PLUS))
-    kinds = {"token": pa.int64(), "node": pa.int64(), "n": pa.int32(), "pos": pa.int32()}
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    kinds = {"token": pa.int64(), "node": pa.int64(), "n": pa.int32(), "end": pa.int64(), "pos": pa.int32()}
 
     def scan(batches):
-        counts, most = shared.value
+        counts = shared.value
         seen: set[int] = set()
         for batch in batches:
             texts = batch.column(0)
             for a, b in tokens.groups(texts, 4_000_000):
-                out: list[tuple[np.ndarray, int, int]] = []
+                out: list[tuple[np.ndarray, int, int, int]] = []
                 for s in shingles.distinct(texts.slice(a, b - a)):
                     if not len(s) or (m := _node(s)[0]) in seen:
                         continue
                     seen.add(m)
                     length = len(s) - math.ceil(PERCENT * len(s) / 100) + 1
                     held = counts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
-                    rare = held <= most
-                    first = s[rare][:length]
-                    if len(first) < length:
-                        many, of = s[~rare], held[~rare]
-                        first = np.concatenate((first, many[np.lexsort((many, of))][: length - len(first)]))
-                    out.append((first, m, len(s)))
+                    order = np.argsort(held, kind="stable")[:length]
+                    # The place of the last one in the common order; ties of the shortened hash count as equal.
+                    end = min(int(held[order[-1]]), (1 << 22) - 1) << 41 | int(s[order[-1]]) >> 23
+                    out.append((s[order], m, len(s), end))
                 if out:
-                    sizes = np.array([len(f) for f, _, _ in out])
-                    yield _batch({"token": _signed(np.concatenate([f for f, _, _ in out])), "node": np.repeat(np.array([m for _, m, _ in out], np.int64), sizes), "n": np.repeat(np.array([n for _, _, n in out], np.int32), sizes), "pos": np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])}, kinds)
+                    sizes = np.array([len(x[0]) for x in out])
+                    yield _batch({"token": _signed(np.concatenate([x[0] for x in out])), "node": np.repeat(np.array([x[1] for x in out], np.int64), sizes), "n": np.repeat(np.array([x[2] for x in out], np.int32), sizes), "end": np.repeat(np.array([x[3] for x in out], np.int64), sizes), "pos": np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])}, kinds)
 
     return docs.select("text").mapInArrow(scan, _ROW)
 
 
 def _shared(rows: DataFrame) -> DataFrame:
     """The rows whose token several nodes hold, each with the first of these nodes. Rows come by token and node and pass by."""
-    kinds = {"token": pa.int64(), "node": pa.int64(), "n": pa.int32(), "pos": pa.int32(), "head": pa.int64(), "head_n": pa.int32()}
+    kinds = {"token": pa.int64(), "node": pa.int64(), "n": pa.int32(), "end": pa.int64(), "pos": pa.int32(), "head": pa.int64(), "head_n": pa.int32(), "head_end": pa.int64()}
 
     def walk(batches):
         held, told = None, False  # the first row of the last token, and whether it was put out
         for batch in batches:
-            c = [np.asarray(batch.column(i)) for i in range(4)]
+            c = [np.asarray(batch.column(i)) for i in range(5)]
             if held is not None:
                 c = [np.concatenate(([h], x)) for h, x in zip(held, c, strict=True)]
             if not len(c[0]):
@@ -153,15 +163,21 @@ def _shared(rows: DataFrame) -> DataFrame:
                 out[0] = False
             held, told = [x[start[-1]] for x in c], last
             if out.any():
-                yield _batch({"token": c[0][out], "node": c[1][out], "n": c[2][out], "pos": c[3][out], "head": c[1][first][out], "head_n": c[2][first][out]}, kinds)
+                yield _batch({"token": c[0][out], "node": c[1][out], "n": c[2][out], "end": c[3][out], "pos": c[4][out], "head": c[1][first][out], "head_n": c[2][first][out], "head_end": c[3][first][out]}, kinds)
 
-    return rows.repartition("token").sortWithinPartitions("token", "node").mapInArrow(walk, _ROW + ", head long, head_n int")
+    return rows.repartition("token").sortWithinPartitions("token", "node").mapInArrow(walk, _ROW + ", head long, head_n int, head_end long")
 
 
-def _members(docs: DataFrame, table: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, s: the shingles of each of nodes, from one row of docs that has them."""
+def few(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast where it has at most FEW rows."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
+def _members(docs: DataFrame, table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node, s: the shingles of the nodes of pairs, each from one row of docs that has them."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = table.join(nodes, "node").groupBy("node").agg(F.min("k").alias("k")).select(F.col("k").alias("__k"), F.col("node").alias("__node"))
-    rows = docs.join(wanted, docs["k"] == wanted["__k"]).select("__node", "text")
+    rows = docs.join(few(scratch.keep(wanted, "ngram-wanted")), F.col("k") == F.col("__k")).select("__node", "text")
 
     def scan(batches):
         for batch in batches:
@@ -199,12 +215,25 @@ def links(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return order.mapInArrow(compare, "a long, b long")
 
 
-def _bound(n: str, pos: str, m: str, at: str):
-    """Whether sets of n and m shingles can link when their first common one is the pos-th of the one, the at-th of the other."""
-    most = F.least(F.col(n) - F.col(pos), F.col(m) - F.col(at))
+def _fits(n: str, m: str) -> Column:
+    """Whether sets of n and m shingles can link at all."""
+    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+
+
+def _behind(n: str) -> Column:
+    """Shingles of a set of n that its prefix leaves out."""
+    return F.ceil(PERCENT * F.col(n) / 100) - 1
+
+
+def _enough(most: Column, n: str, m: str) -> Column:
     return most * (100 + PERCENT) >= PERCENT * (F.col(n) + F.col(m))
 
 
+def _ends(x: str, y: str, of_x: Column, of_y: Column) -> Column:
+    """of_x where the prefix that ends at x ends first, of_y where the other does, the larger where it can't be told."""
+    return F.when(F.col(x) < F.col(y), of_x).when(F.col(x) > F.col(y), of_y).otherwise(F.greatest(of_x, of_y))
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text; other columns are ignored).
 
@@ -220,23 +249,44 @@ def join(docs: DataFrame) -> DataFrame:
     if clash.limit(1).count():
         raise ValueError("two sets of shingles have the same 64-bit name")
     rows = scratch.keep(_shared(_prefixes(base, _sketch(found))), "ngram-prefixes")
-    members = scratch.keep(_members(base, table, rows.select("node").distinct()), "ngram-members")
-
-    fits = lambda n, m: 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
-    starred = rows.where((F.col("head") != F.col("node")) & fits("n", "head_n")).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    near = scratch.keep(links(scratch.keep(starred, "ngram-stars"), members), "ngram-links")
-    groups = scratch.keep(components.label(near), "ngram-groups")
-
-    named = rows.join(groups, "node", "left").select("token", "node", "n", "pos", F.coalesce("label", "node").alias("g"))
-    mixed = named.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("token")
-    cells = scratch.keep(named.join(mixed, "token"), "ngram-cells")
-    matrix = cells.groupBy("token", F.col("g").alias("h")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("at"))
-    opened = cells.join(matrix, "token").where("g < h").where((100 * F.col("most") >= PERCENT * F.col("n")) & (100 * F.col("n") >= PERCENT * F.col("least")))
-    opened = opened.where(F.least(F.col("n") - F.col("pos"), F.col("most") - F.col("at")) * (100 + PERCENT) >= PERCENT * (F.col("n") + F.col("least")))
-    other = cells.select("token", F.col("g").alias("h"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at2"))
-    pairs = opened.select("token", "h", F.col("node").alias("a"), "n", "pos").join(other, ["token", "h"]).where(_bound("n", "pos", "m", "at2"))
-    pairs = scratch.keep(pairs.select("a", "b").distinct(), "ngram-opened")
-    every = scratch.keep(components.label(near.unionByName(links(pairs, members))), "ngram-components")
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Links among pairs (a, n, end, b, m, end2, one row for each shingle they are known to share) that the bound allows."""
+        counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("n", "end", "m", "end2")])
+        allowed = _enough(F.col("c") + _ends("end", "end2", _behind("n"), _behind("m")), "n", "m")
+        wanted = scratch.keep(counted.where(_fits("n", "m") & allowed).select("a", "b"), "ngram-pairs")
+        return scratch.keep(links(wanted, scratch.keep(_members(base, table, wanted), "ngram-members")), "ngram-links")
+
+    def mixed(cells: DataFrame, near: DataFrame) -> DataFrame:
+        """Cells with the group of their node, of those shingles that several groups hold."""
+        named = cells.join(scratch.keep(components.label(near), "ngram-groups"), "node", "left").withColumn("g", F.coalesce("label", "node")).drop("label")
+        several = named.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select("token")
+        return scratch.keep(named.join(several, "token"), "ngram-cells")
+
+    near = compared(rows.where("head <> node").select(F.col("head").alias("a"), F.col("head_n").alias("n"), F.col("head_end").alias("end"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("end").alias("end2")))
+    own = Window.partitionBy("node")
+    f, r = F.count(F.lit(1)).over(own), F.row_number().over(own.orderBy("pos"))
+    cells = mixed(rows.select("token", "node", "n", "end", f.alias("f"), (f - r).alias("room")).withColumn("reach", _behind("n") + F.col("f")), near)
+    best = Window.partitionBy("token").orderBy(F.desc(F.col("f") / F.col("n")), "node")
+    hub = lambda c: F.first(c).over(best)
+    starred = cells.select(hub("node").alias("a"), hub("n").alias("n"), hub("end").alias("end"), hub("g").alias("h"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("end").alias("end2"), "g")
+    near = near.unionByName(compared(starred.where("g <> h").drop("g", "h")))
+    cells = mixed(cells.drop("g"), near)
+
+    matrix = cells.groupBy("token", F.col("g").alias("h")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("end").alias("soonest"), F.max("reach").alias("farthest"), F.max("room").alias("widest"))
+    first = F.col("end") < F.col("soonest")  # the node's prefix ends before those of all members that hold the shingle
+    could = (100 * F.col("most") >= PERCENT * F.col("n")) & (100 * F.col("n") >= PERCENT * F.col("least"))
+    reached = _enough(F.when(first, F.col("reach")).otherwise(F.greatest("reach", "farthest")), "n", "least")
+    behind = F.when(first, _behind("n")).otherwise(F.greatest(_behind("n"), _behind("most")))
+    open_ = could & reached & _enough(1 + F.least("room", "widest") + behind, "n", "least")
+    left = cells.select(F.col("token").alias("t"), F.col("node").alias("a"), "n", "end", "reach", "room", "g")
+    met = left.join(matrix, (F.col("t") == F.col("token")) & (F.col("g") < F.col("h")) & open_)
+    other = cells.select(F.col("token").alias("t2"), F.col("g").alias("h2"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("end").alias("end2"), F.col("reach").alias("reach2"), F.col("room").alias("room2"))
+    links_ = _fits("n", "m") & _enough(_ends("end", "end2", F.col("reach"), F.col("reach2")), "n", "m")
+    links_ = links_ & _enough(1 + F.least("room", "room2") + _ends("end", "end2", _behind("n"), _behind("m")), "n", "m")
+    pairs = met.select("t", "a", "n", "end", "reach", "room", "h").join(other, (F.col("t") == F.col("t2")) & (F.col("h") == F.col("h2")) & links_).select("a", "b").distinct()
+    pairs = scratch.keep(pairs, "ngram-opened")
+    near = near.unionByName(links(pairs, scratch.keep(_members(base, table, pairs), "ngram-members")))
+    every = scratch.keep(components.label(near), "ngram-components")
 
     own = table.join(every, "node", "left").select("k", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("c"))
     least = own.where("c IS NOT NULL").groupBy("c").agg(F.min(F.when(F.col("k") != _NULL_ID, F.col("k"))).alias("component_id"))
@@ -245,10 +295,13 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of each component the one with the least doc_id, and every text without words."""
-    found = scratch.keep(join(docs), "ngram-join")
-    gone = found.where("component_id IS NOT NULL AND doc_id IS NOT NULL AND component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """The rows of docs that stay, with all their columns: of each component the one with the least doc_id.
+
+    Texts without words and rows without a doc_id stay; a doc_id goes with all its rows.
+    """
+    found = join(docs)
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(few(scratch.keep(gone, "ngram-gone")), F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
