@@ -36,8 +36,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the mix into sequences of 4096 tokens; each repeat is packed as a document of its own."""
-    return packing.pack_documents(docs)
+    """Packs the mix into sequences of 4096 tokens; each repeat is packed as a document of its own.
+
+    The memo is small: the executor's memory still holds what the stages before left in the JVM.
+    """
+    return packing.pack_documents(docs, memo=100_000, group=2_000_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

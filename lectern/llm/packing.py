@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm import scratch, tokens
+from lectern.llm import memory, scratch, tokens
 
 CAPACITY = 4096
 END_ID = 1
@@ -152,17 +152,20 @@ def slots(plan: Plan) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     return out
 
 
-def cut(docs: DataFrame, vocabulary: str, spaced: bool = False, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of at most capacity ids: doc_id, piece, start, length, ids_crc32. Null text is empty: its end id alone."""
+def cut(docs: DataFrame, vocabulary: str, spaced: bool = False, end_id: int = END_ID, capacity: int = CAPACITY, memo: int = tokens.MEMO, group: int = tokens.GROUP_CHARS) -> DataFrame:
+    """Pieces of at most capacity ids: doc_id, piece, start, length, ids_crc32. Null text is empty: its end id alone.
+
+    memo, group: how many chunks a worker remembers and how many bytes of text it encodes at a time.
+    """
     text = docs.sparkSession.sparkContext.broadcast(vocabulary)
     names, kinds = ["doc_id", "piece", "start", "length", "ids_crc32"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def pieces(batches):
-        enc = tokens.encoder(text.value, spaced)
+        enc = tokens.encoder(text.value, spaced, memo)
         end = np.array([end_id], "<u4")
         for batch in batches:
             ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in tokens.groups(texts):
+            for a, b in tokens.groups(texts, group):
                 ids, at = enc.encode(texts.slice(a, b - a))
                 rows = []
                 for i in range(b - a):
@@ -171,7 +174,7 @@ def cut(docs: DataFrame, vocabulary: str, spaced: bool = False, end_id: int = EN
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(memory.tidy(pieces), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
@@ -211,11 +214,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> D
     return ranked.select(*pieces.columns, "__rank").mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str | None = None, **how: int) -> DataFrame:
     import public_tokenizers
 
     with open(vocabulary or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
-        return pack(scratch.keep(cut(docs.select("doc_id", "text"), f.read()), "pack-pieces"))
+        return pack(scratch.keep(cut(docs.select("doc_id", "text"), f.read(), **how), "pack-pieces"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

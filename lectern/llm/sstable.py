@@ -29,13 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm import scratch, tokens
+from lectern.llm import memory, scratch, tokens
 
 MAGIC = b"LECSST01"
 RESTART = 16
 BLOCK_BYTES = 64 * 1024
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 END_ID = 0
+#: Memo entries and bytes of text at a time of a writing task, which has its executor to itself.
+MEMO, GROUP_CHARS = 1_500_000, 16_000_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -218,14 +220,14 @@ def write(docs: DataFrame, vocabulary: str, path: str, spaced: bool = True, end_
     shards = f"{path}/shards"
 
     def shard(batches):
-        enc = tokens.encoder(text.value, spaced)
+        enc = tokens.encoder(text.value, spaced, MEMO)
         width = 2 if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 65_536 else 4
         k, out, writer = TaskContext.get().partitionId(), None, None
         end = np.array([end_id], "<u4")
         first = key = None
         for batch in batches:
             ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in tokens.groups(texts):
+            for a, b in tokens.groups(texts, GROUP_CHARS):
                 ids, at = enc.encode(texts.slice(a, b - a))
                 for i in range(b - a):
                     if writer is None:
@@ -243,7 +245,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, spaced: bool = True, end_
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("__h"))
     dealt = rows.repartitionByRange("doc_id", "__h").sortWithinPartitions("doc_id", "__h", "text").select("doc_id", "text")
     schema = "shard long, file string, docs long, tokens long, first_key binary, last_key binary"
-    dealt.mapInArrow(shard, schema).write.parquet(f"{path}/manifest")
+    dealt.mapInArrow(memory.tidy(shard), schema).write.parquet(f"{path}/manifest")
     return spark.read.schema(schema).parquet(f"{path}/manifest")
 
 

@@ -18,10 +18,10 @@ import pyarrow.compute as pc
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _WS_RE2 = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
-#: Entries of the memo, and the longest chunk it keeps (longer ones seldom come again): about 300 MB for a Python worker.
-MEMO, MEMO_CHARS = 1_500_000, 12
-#: Characters encoded at a time.
-GROUP_CHARS = 16_000_000
+#: The longest chunk that the memo keeps: longer ones seldom come again.
+MEMO_CHARS = 12
+#: Entries of the memo (about 200 bytes each) and bytes of text encoded at a time, where nothing else is said.
+MEMO, GROUP_CHARS = 600_000, 5_000_000
 
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
 
@@ -29,12 +29,13 @@ _ENCODERS: dict[tuple, ChunkEncoder] = {}
 class ChunkEncoder:
     """spaced: white space goes with the word behind it (byte-level vocabularies); else it is dropped."""
 
-    def __init__(self, vocabulary: str, spaced: bool):
+    def __init__(self, vocabulary: str, spaced: bool, most: int = MEMO):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaced = Tokenizer.from_str(vocabulary), spaced
         self.memo: dict[str, bytes] = {}
+        self.most = most
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (null: empty), and where each text's ids begin, with the end."""
@@ -59,7 +60,12 @@ class ChunkEncoder:
         begins = np.cumsum(sizes) - sizes
         n = sizes[which]
         ends = np.cumsum(n)
-        ids = flat[np.repeat(begins[which] - ends + n, n) + np.arange(ends[-1])] if len(n) and ends[-1] else np.empty(0, "<u4")
+        ids = np.empty(0, "<u4")
+        if len(n) and ends[-1]:
+            small = np.int32 if max(ends[-1], len(flat)) < 1 << 31 else np.int64
+            place = np.repeat((begins[which] - ends + n).astype(small), n)
+            place += np.arange(ends[-1], dtype=small)
+            ids = flat[place]
         return ids, np.concatenate(([0], ends))[at]
 
     def _cut(self, texts, odd, which, at, keys):
@@ -70,7 +76,7 @@ class ChunkEncoder:
         return np.concatenate(parts), np.cumsum([0, *map(len, parts)]), keys + list(own)
 
     def _ids(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.memo) > MEMO:
+        if len(self.memo) > self.most:
             self.memo.clear()
         got = list(map(self.memo.get, keys))
         new = [i for i, x in enumerate(got) if x is None]
@@ -83,12 +89,12 @@ class ChunkEncoder:
         return np.fromiter(map(len, got), np.int64, len(got)) // 4, np.frombuffer(b"".join(got), "<u4")
 
 
-def encoder(vocabulary: str, spaced: bool) -> ChunkEncoder:
+def encoder(vocabulary: str, spaced: bool, most: int = MEMO) -> ChunkEncoder:
     """One encoder for each Python worker and vocabulary."""
-    key = (hash(vocabulary), spaced)
+    key = (hash(vocabulary), spaced, most)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = ChunkEncoder(vocabulary, spaced)
+        _ENCODERS[key] = ChunkEncoder(vocabulary, spaced, most)
     return _ENCODERS[key]
 
 

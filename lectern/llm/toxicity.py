@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm import memory
+
 #: The model is fitted on at most so many labelled rows, those with the smallest hash of doc_id.
 MAX_LABELLED = 4000
 #: Words in fewer labelled documents than this are no features; there are at most so many.
@@ -98,7 +100,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Mode
             seen = [Counter(_terms(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"toxic": batch.column(0), "words": pa.array([list(c) for c in seen], pa.list_(pa.string())), "counts": pa.array([list(c.values()) for c in seen], pa.list_(pa.int32()))})
 
-    table = texts.mapInArrow(count, "toxic int, words array<string>, counts array<int>").toArrow()
+    table = texts.mapInArrow(memory.tidy(count), "toxic int, words array<string>, counts array<int>").toArrow()
     toxic = np.array(table.column("toxic").to_pylist(), np.int64)
     if not (toxic > 0).any():
         return Model({}, [40.0, 41.0])
@@ -140,7 +142,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             each = np.hstack((np.ones((len(s), 1)), s)) - np.hstack((s, np.zeros((len(s), 1))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s[:, 0]), pa.array(s.sum(1)), pa.array(each.argmax(1).astype(np.int32)), pa.array(s[:, 0] >= REJECT)], ["doc_id", "p_toxic", "expected_severity", "grade", "toxic"])
 
-    return docs.select("doc_id", "text").mapInArrow(rate, "doc_id long, p_toxic double, expected_severity double, grade int, toxic boolean")
+    return docs.select("doc_id", "text").mapInArrow(memory.tidy(rate), "doc_id long, p_toxic double, expected_severity double, grade int, toxic boolean")
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -152,7 +154,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([bool(shared.value.chances(_terms(t))[0] < REJECT) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(memory.tidy(clean), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
