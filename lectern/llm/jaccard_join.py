@@ -40,13 +40,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm import components, scratch, shingles, tokens
+from lectern.llm import components, memory, scratch, shingles, tokens
 
 PERCENT = 75
 #: Counters of the sketch, whatever the input.
 COUNTERS, BLOCK = 1 << 22, 1 << 18
 #: Pairs with one first node that are compared together.
 TOGETHER = 512
+#: Nodes of a block where many pairs lie among few nodes.
+BLOCK_NODES = 128
 _NULL_ID = -(1 << 63)
 _SET = "kind int, k long, n long, node long, proof long, block int, counts binary"
 _ROW = "token long, node long, n int, end long, pos int"
@@ -90,7 +92,7 @@ def sets(docs: DataFrame) -> DataFrame:
             if counts[i : i + BLOCK].any():
                 yield _batch({"kind": [1], "k": [None], "n": [None], "node": [None], "proof": [None], "block": [i // BLOCK], "counts": [squeeze.compress(counts[i : i + BLOCK].tobytes())]}, kinds)
 
-    return docs.select("k", "text").mapInArrow(scan, _SET)
+    return docs.select("k", "text").mapInArrow(memory.tidy(scan), _SET)
 
 
 def _sketch(found: DataFrame) -> np.ndarray:
@@ -137,7 +139,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                     sizes = np.array([len(x[0]) for x in out])
                     yield _batch({"token": _signed(np.concatenate([x[0] for x in out])), "node": np.repeat(np.array([x[1] for x in out], np.int64), sizes), "n": np.repeat(np.array([x[2] for x in out], np.int32), sizes), "end": np.repeat(np.array([x[3] for x in out], np.int64), sizes), "pos": np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])}, kinds)
 
-    return docs.select("text").mapInArrow(scan, _ROW)
+    return docs.select("text").mapInArrow(memory.tidy(scan), _ROW)
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -165,7 +167,7 @@ def _shared(rows: DataFrame) -> DataFrame:
             if out.any():
                 yield _batch({"token": c[0][out], "node": c[1][out], "n": c[2][out], "end": c[3][out], "pos": c[4][out], "head": c[1][first][out], "head_n": c[2][first][out], "head_end": c[3][first][out]}, kinds)
 
-    return rows.repartition("token").sortWithinPartitions("token", "node").mapInArrow(walk, _ROW + ", head long, head_n int, head_end long")
+    return rows.repartition("token").sortWithinPartitions("token", "node").mapInArrow(memory.tidy(walk), _ROW + ", head long, head_n int, head_end long")
 
 
 def few(df: DataFrame) -> DataFrame:
@@ -186,7 +188,7 @@ def _members(docs: DataFrame, table: DataFrame, pairs: DataFrame) -> DataFrame:
                 own = [(m, s.tobytes()) for m, s in zip(ids[a:b], shingles.distinct(texts.slice(a, b - a)), strict=True) if len(s) and _node(s)[0] == m]
                 yield pa.RecordBatch.from_pydict({"node": pa.array([m for m, _ in own], pa.int64()), "s": pa.array([s for _, s in own], pa.binary())})
 
-    return rows.mapInArrow(scan, "node long, s binary")
+    return rows.mapInArrow(memory.tidy(scan), "node long, s binary")
 
 
 def links(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -212,7 +214,36 @@ def links(pairs: DataFrame, members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
     order = rows.repartition("a", "part").sortWithinPartitions(F.col("a"), F.col("part"), F.col("b").asc_nulls_first())
-    return order.mapInArrow(compare, "a long, b long")
+    return order.mapInArrow(memory.tidy(compare), "a long, b long")
+
+
+def dense_links(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """links() for pairs among few nodes: nodes are dealt to blocks of about BLOCK_NODES, and a node's shingles travel once for each pair of blocks."""
+    n = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().count()
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(max(1, n // BLOCK_NODES)))
+    dealt = pairs.select(block("a").alias("x"), block("b").alias("y"), "a", "b")
+    wanted = dealt.select("x", "y", F.col("a").alias("node")).union(dealt.select("x", "y", "b")).distinct()
+    rows = wanted.join(members, "node").select("x", "y", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "s")
+    rows = rows.unionByName(dealt.withColumn("s", F.lit(None).cast("binary")))
+
+    def compare(batches):
+        place, held = None, {}
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for x, y, a, b, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (x, y) != place:
+                    place, held = (x, y), {}
+                if b is None:
+                    held[a] = np.frombuffer(s, np.uint64)
+                else:
+                    p, q = held[a], held[b]
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    if 100 * both >= PERCENT * (len(p) + len(q) - both):
+                        found.append((a, b))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    order = rows.repartition("x", "y").sortWithinPartitions(F.col("x"), F.col("y"), F.col("b").asc_nulls_first())
+    return order.mapInArrow(memory.tidy(compare), "a long, b long")
 
 
 def _fits(n: str, m: str) -> Column:
@@ -285,7 +316,7 @@ def join(docs: DataFrame) -> DataFrame:
     links_ = links_ & _enough(1 + F.least("room", "room2") + _ends("end", "end2", _behind("n"), _behind("m")), "n", "m")
     pairs = met.select("t", "a", "n", "end", "reach", "room", "h").join(other, (F.col("t") == F.col("t2")) & (F.col("h") == F.col("h2")) & links_).select("a", "b").distinct()
     pairs = scratch.keep(pairs, "ngram-opened")
-    near = near.unionByName(links(pairs, scratch.keep(_members(base, table, pairs), "ngram-members")))
+    near = near.unionByName(dense_links(pairs, scratch.keep(_members(base, table, pairs), "ngram-members")))
     every = scratch.keep(components.label(near), "ngram-components")
 
     own = table.join(every, "node", "left").select("k", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("c"))
