@@ -173,3 +173,27 @@ def test_op7_awkward(spark):
     assert weighted_sampling.fingerprints(cases.empty(spark)).count() == 0
     one = weighted_sampling.fingerprints(docs.where("doc_id = 8")).first()
     assert one["near_next"] == 1.0
+
+
+def edited_groups(seed, groups=6, copies=30, words=60, edits=(4, 10)):
+    """Documents that hold a passage of their group: a few edited copies with the smaller ids, then copies without edits."""
+    r = random.Random(seed)
+    fresh = lambda n: [f"n{r.randrange(10**9)}" for _ in range(n)]
+    docs = []
+    for g in range(groups):
+        passage = fresh(words)
+        for k in range(copies):
+            own = list(passage)
+            if k < copies - 2:
+                n = r.randrange(*edits)
+                for i in range(n):
+                    own[(2 * i + 1) * words // (2 * n)] = f"e{r.randrange(10**9)}"
+            docs.append((g * 1000 + k, " ".join(fresh(80) + own + fresh(80))))
+    return docs
+
+
+def test_op6_equal_passages_behind_edited_heads(spark):
+    docs = edited_groups(3)
+    got = compact_windows.passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).toPandas()
+    found = set(got.doc_id) | set(got.other_id)
+    assert {g * 1000 + k for g in range(6) for k in (28, 29)} <= found
