@@ -197,3 +197,18 @@ def test_op6_equal_passages_behind_edited_heads(spark):
     got = compact_windows.passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).toPandas()
     found = set(got.doc_id) | set(got.other_id)
     assert {g * 1000 + k for g in range(6) for k in (28, 29)} <= found
+
+
+def test_op6_lone_pairs_near_the_threshold(spark):
+    """Recall against all pairs: 400 passages, each with one copy of similarity 0.7576 and no equal stretch of 50 words."""
+    r = random.Random(5)
+    docs = []
+    for k in range(400):
+        passage = [f"n{r.randrange(10**9)}" for _ in range(62)]
+        docs.append((2 * k, " ".join(passage)))
+        passage[29:33] = [f"e{r.randrange(10**9)}" for _ in range(4)]
+        docs.append((2 * k + 1, " ".join(passage)))
+        a, b = (cases.shingles(t) for _, t in docs[-2:])
+        assert 0.75 <= len(a & b) / len(a | b) < 0.76
+    got = compact_windows.passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).toPandas()
+    assert set(zip(got.doc_id, got.other_id, strict=True)) == {(2 * k + 1, 2 * k) for k in range(400)}
