@@ -345,3 +345,13 @@ def test_op9_shared_lines_go_and_own_lines_stay(spark):
     assert got[3] == "Site name\nAlone\nRead on\nAll rights reserved"  # no neighbour: markup alone
     assert got[4] == "" and "One & two\nRead on" in got[5]
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_op9_one_page_under_two_addresses(spark):
+    page = lambda own, last="": f"<body><div>Site name</div><div><p>{own} and so on to the end of a text that is longer than what stands around it</div><div>All rights reserved</div>{last}</body>"
+    rows = [(1, "http://h/a?x=1", page("One")), (2, "http://h/a?x=2", page("One")), (3, "http://h/a?x=3", page("One", "<p>12:01")), (4, "http://h/b", page("Two")), (5, "http://twin/a", page("Six")), (6, "http://twin/b", page("Six"))]
+    got = {r["page_id"]: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)).collect()}
+    text = " and so on to the end of a text that is longer than what stands around it"
+    assert [got[k]["text"] for k in (1, 2, 3, 4)] == ["One" + text, "One" + text, "One" + text + "\n12:01", "Two" + text]
+    assert got[1]["near_url"] == got[2]["near_url"] == "http://h/b"
+    assert "Six" + text in got[5]["text"] and got[5]["near_url"] is None
