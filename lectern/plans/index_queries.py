@@ -98,13 +98,27 @@ def evidence_units(spark, d):
 
 @query(f"WITH {_CHUNKS} SELECT doc_id, kind, k, min(ix) AS first_ix FROM (SELECT doc_id, ix, 'body' AS kind, regexp_replace(lower(substr(text, 1, 20)), '[0-9]+', '#', 'g') AS k FROM chunks UNION ALL SELECT doc_id, ix, 'lead', regexp_replace(lower(regexp_extract(text, '^[^ ]*')), '[0-9]+', '#', 'g') FROM chunks) GROUP BY doc_id, kind, k")
 def representations(spark, d):
-    """Two views of each chunk, and of views that differ in numbers alone the first."""
+    """Two short views of each chunk, and of views of a document that differ in numbers alone the first. The whole of X8 and X9 is table_of_representations."""
     chunks = _chunks(spark, d)
     view = lambda name, c: chunks.select("doc_id", "ix", F.lit(name).alias("kind"), F.regexp_replace(F.lower(c), "[0-9]+", "#").alias("k"))
     both = view("body", F.substring("text", 1, 20)).unionByName(view("lead", F.regexp_extract("text", "^[^ ]*", 0)))
     return both.groupBy("doc_id", "kind", "k").agg(F.min("ix").alias("first_ix"))
 
 
+@query()
+def table_of_representations(spark, d):
+    """What the units of all pages are found by. A page is one unit: its heading, and the text of its article by paragraphs."""
+    inner = F.coalesce(F.regexp_extract("html", r"(?is)<article\b[^>]*>(.*)</article>", 1), F.lit(""))
+    plain = lambda c: F.regexp_replace(F.regexp_replace(F.replace(F.replace(F.replace(F.replace(F.replace(c, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&#x27;"), F.lit("'")), F.lit("&amp;"), F.lit("&")), "[ \t]*\n[ \t]*", "\n"), r"^\s+|\s+$", "")
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"(?i)</?(?:p|h[1-6]|ul|ol|li)\b[^>]*>", "\n\n"), "<[^>]*>", " ")
+    head = r"(?is)<h1\b[^>]*>(.*?)</h1>"
+    rows = table(spark, d, "pages").select("page_id", inner.alias("x"))
+    section, body = plain(bare(F.regexp_extract("x", head, 1))), plain(bare(F.regexp_replace("x", head, "")))
+    units = rows.select(F.col("page_id").alias("doc"), F.lit(0).cast("long").alias("unit"), section.alias("section"), body.alias("text"))
+    units = units.withColumns({"kind": T.section_type(F.col("section")), "title": F.lit(None).cast("string"), "headers": F.lit(None).cast("array<string>"), "rows": F.lit(None).cast("array<array<string>>")})
+    return structure.representations(units)
+
+
 @query("""SELECT user_id, min(ts) AS begin, count(*) AS n, round(sum(value), 4) AS total FROM (
   SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (
     SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 60 SECOND OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN 1 ELSE 0 END AS new FROM events)) GROUP BY user_id, g""")

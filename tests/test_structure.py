@@ -77,3 +77,23 @@ def test_first_owner_keeps_a_thread(spark, tmp_path):
     q = requests.first_owner(live, "thread", "who", 60).writeStream.format("memory").queryName("claims").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r["who"], r["granted"]) for r in spark.table("claims").collect()] == [("a", True), ("b", False), ("a", True), ("b", False), ("b", True)]
+
+
+def test_representations_by_whole_text_over_all_documents(spark):
+    same = "A long heading that comes again and again"
+    units = [
+        (1, 0, "concept", "Work Center", "Work Center: a place. It has a Manufacturing Execution System (MES). More.", None, None, None),
+        (1, 1, "procedure", same + " one", "1. Open\n2. Close", None, None, None),
+        (2, 0, "procedure", same + " two", "1. Go", None, None, None),
+        (3, 0, "field_definition", "WORK  center", "Fields", "Part 7", ["Name", "Meaning"], [["Lot", "a batch", "x"], [" ", "none"]]),
+        (4, 0, "field_definition", None, "", "Part 8", ["Name", "Meaning"], []),
+        (5, 0, "concept", None, " ".join(["word"] * 300), None, None, None),
+    ]
+    df = spark.createDataFrame(units, "doc long, unit long, kind string, section string, text string, title string, headers array<string>, rows array<array<string>>")
+    got = sorted((r["doc"], r["unit"], r["type"], r["text"]) for r in structure.representations(df).collect())
+    assert got == sorted([
+        (1, 0, "heading", "Heading:\nWork Center"), (1, 0, "definition", "Definition:\na place. It has a Manufacturing Execution System (MES)."), (1, 0, "acronym_alias", "Acronym: MES\nMeaning: It has a Manufacturing Execution System"),
+        (1, 1, "heading", f"Heading:\n{same} one"), (1, 1, "procedure_title", f"Procedure:\n{same} one"), (2, 0, "heading", f"Heading:\n{same} two"), (2, 0, "procedure_title", f"Procedure:\n{same} two"),
+        (3, 0, "table_title_headers", "Table: Part 7\nColumns:\nName | Meaning"), (3, 0, "field_name_description", "Field: Lot\nName: Lot | Meaning: a batch | Column 3: x"),
+        (5, 0, "definition", "Definition:\n" + " ".join(["word"] * 219)), (5, 0, "definition", "Definition:\n" + " ".join(["word"] * 81)),
+    ])
