@@ -25,9 +25,9 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(sizes: Sequence[int], weights: Sequence[int], most: int = MOST) -> list[float]:
-    """Shares of the sum of sizes by weight, none above most times its size; the excess goes to the others by weight."""
-    total, weight = sum(sizes), sum(weights)
+def targets(sizes: Sequence[int], weights: Sequence[int], most: int = MOST, total: int | None = None) -> list[float]:
+    """Shares of total (the sum of sizes, if not given) by weight, none above most times its size; the excess goes to the others by weight."""
+    total, weight = sum(sizes) if total is None else total, sum(weights)
     level = 0.0
     for i in sorted(range(len(sizes)), key=lambda i: most * sizes[i] / weights[i]):
         level = total / weight
@@ -132,7 +132,7 @@ def mix(docs: DataFrame, sources: Column, weights: Sequence[int] = (1, 2, 3), si
             source_size[j] += n
     weight = [weights[j % len(weights)] for j in range(len(known))]
     # Sizes of overlapping sources count shared documents once in what is shared out.
-    asked = targets(source_size, weight) if sum(source_size) == sum(supply) else [min(float(MOST * n), sum(supply) * w / sum(weight)) for n, w in zip(source_size, weight, strict=True)]
+    asked = targets(source_size, weight, total=sum(supply))
     quota = [int(t + 0.5) for t in asked]
     given = [sum(g.values()) for g in route(supply, member, quota)]
     plan = [(r["__pattern"], g // n if n else 0, g % n if n else 0, source_size[m[0]] if m else 0, asked[m[0]] if m else 0.0) for r, g, n, m in zip(totals, given, supply, member, strict=True)]

@@ -243,6 +243,14 @@ def test_op5_overlapping_sources(spark):
     assert frame(mixing.mix(docs, F.col("of")))["__taken"].sum() == got["__taken"].sum()
 
 
+def test_op5_overlapping_sources_share_out_the_excess(spark):
+    docs = spark.createDataFrame([(i, "w " * (i % 7 + 1), ["a"] if i % 30 else ["a", "b"]) for i in range(300)], "doc_id long, text string, of array<string>")
+    got = frame(mixing.mix(docs, F.col("of")))
+    small = got["__size"][got["__pattern"].str.contains("b")].sum()
+    target = got["__target"][~got["__pattern"].str.contains("b")].iloc[0]
+    assert abs(target + 3 * small - got["__size"].sum()) < 1e-6
+
+
 def test_op5_awkward(spark):
     docs = cases.awkward(spark)
     got = frame(mixing.mix(docs, F.array("source")))
