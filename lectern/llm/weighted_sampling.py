@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import scratch
 
-SAMPLES = 16
+SAMPLES = 64
 #: Ranges of doc_id within which neighbours are looked up; their bounds are all that the driver sees.
 RANGES = 256
 _NULL_ID = -(1 << 63)

@@ -165,6 +165,16 @@ def test_op7_collision_rate_is_the_weighted_similarity(spark):
     assert abs(same - jaccard(a, b)) < 0.06
 
 
+def test_op7_deviation_of_a_row(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = weighted_sampling.query(spark, SF).toPandas().set_index("doc_id")
+    ids = sorted(texts, reverse=True)
+    gaps = [got.near_next[k] - jaccard(texts[k], texts[ids[(i + 1) % len(ids)]]) for i, k in enumerate(ids)]
+    cuts = [(texts[k], texts[ids[(i + 1) % len(ids)]], len(texts[k]) // 2) for i, k in enumerate(ids)]
+    gaps += [got.near_edited[k] - jaccard(t, t[: len(t) - cut] + after[:cut]) for k, (t, after, cut) in zip(ids, cuts, strict=True)]
+    assert got.fingerprint.str.len().min() >= 64 * 8 and np.std(gaps) < 0.06
+
+
 def test_op7_awkward(spark):
     docs = cases.awkward(spark)
     got = weighted_sampling.fingerprints(docs).toPandas()
