@@ -19,6 +19,8 @@ END_ID = 1
 ROUNDS, RATE = 240, 0.5
 #: Parts that the pieces of one length are dealt to while they are numbered.
 BUCKETS = 256
+#: Memo entries and bytes of text at a time of a task that cuts texts, which has its executor to itself.
+MEMO, GROUP_CHARS = 1_500_000, 16_000_000
 
 Plan = list[tuple[tuple[int, ...], int]]
 
@@ -152,7 +154,7 @@ def slots(plan: Plan) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     return out
 
 
-def cut(docs: DataFrame, vocabulary: str, spaced: bool = False, end_id: int = END_ID, capacity: int = CAPACITY, memo: int = tokens.MEMO, group: int = tokens.GROUP_CHARS) -> DataFrame:
+def cut(docs: DataFrame, vocabulary: str, spaced: bool = False, end_id: int = END_ID, capacity: int = CAPACITY, memo: int = MEMO, group: int = GROUP_CHARS) -> DataFrame:
     """Pieces of at most capacity ids: doc_id, piece, start, length, ids_crc32. Null text is empty: its end id alone.
 
     memo, group: how many chunks a worker remembers and how many bytes of text it encodes at a time.
