@@ -49,18 +49,31 @@ COUNTERS, BLOCK = 1 << 22, 1 << 18
 TOGETHER = 512
 #: Nodes of a block where many pairs lie among few nodes.
 BLOCK_NODES = 128
-_NULL_ID = -(1 << 63)
-_SET = "kind int, k long, n long, node long, proof long, block int, counts binary"
+#: Requests for one node's set that one row of the scan serves.
+SERVED = 256
+_SET = "kind int, k long, h long, n long, node long, proof long, block int, counts binary"
 _ROW = "token long, node long, n int, end long, pos int"
 #: Rows that may be sent to every executor; beyond, the join shuffles.
 FEW = 200_000
 
 
-def _node(s: np.ndarray) -> tuple[int, int]:
+def _node(s: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """The name of a set, and 64 bits more that tell sets of one name apart."""
     import xxhash
 
     data = s.tobytes()
-    return xxhash.xxh3_64_intdigest(data) - (1 << 63), xxhash.xxh64_intdigest(data, 7) - (1 << 63)
+    return (xxhash.xxh3_64_intdigest(data) >> (64 - bits)) - (1 << 63), xxhash.xxh64_intdigest(data, 7) - (1 << 63)
+
+
+class Names:
+    """Names of sets, with other names for those that clash."""
+
+    def __init__(self, bits: int, renamed: dict[tuple[int, int], int]):
+        self.bits, self.renamed, self.clashing = bits, renamed, {m for m, _ in renamed}
+
+    def of(self, s: np.ndarray) -> int:
+        m, proof = _node(s, self.bits)
+        return self.renamed.get((m, proof), m) if m in self.clashing else m
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -71,28 +84,54 @@ def _batch(columns: dict, schema: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], t) for c, t in schema.items()], list(schema))
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """kind 0: k, n, node of every row of docs (k, text); kind 1: blocks of counts of shingles by their low bits."""
-    kinds = {"kind": pa.int32(), "k": pa.int64(), "n": pa.int64(), "node": pa.int64(), "proof": pa.int64(), "block": pa.int32(), "counts": pa.binary()}
+def sets(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """kind 0: k, h, n, node, proof of every row of docs (k, h, text); kind 1: blocks of counts of shingles by their low bits."""
+    kinds = {"kind": pa.int32(), "k": pa.int64(), "h": pa.int64(), "n": pa.int64(), "node": pa.int64(), "proof": pa.int64(), "block": pa.int32(), "counts": pa.binary()}
 
     def scan(batches):
         counts, seen = np.zeros(COUNTERS, np.uint32), set()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, h, texts = batch.column(0), batch.column(1), batch.column(2)
             for a, b in tokens.groups(texts):
                 own = shingles.distinct(texts.slice(a, b - a))
-                marks = [_node(s) if len(s) else (0, 0) for s in own]
-                fresh = [s for s, (m, _) in zip(own, marks, strict=True) if len(s) and not (m in seen or seen.add(m))]
+                marks = [_node(s, bits) if len(s) else (0, 0) for s in own]
+                fresh = [s for s, m in zip(own, marks, strict=True) if len(s) and not (m in seen or seen.add(m))]
                 if fresh:
                     counts += np.bincount((np.concatenate(fresh) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
                 n = b - a
-                yield _batch({"kind": [0] * n, "k": ids.slice(a, n), "n": [len(s) for s in own], "node": [m[0] for m in marks], "proof": [m[1] for m in marks], "block": [None] * n, "counts": [None] * n}, kinds)
+                yield _batch({"kind": [0] * n, "k": ids.slice(a, n), "h": h.slice(a, n), "n": [len(s) for s in own], "node": [m[0] for m in marks], "proof": [m[1] for m in marks], "block": [None] * n, "counts": [None] * n}, kinds)
         squeeze = zstandard.ZstdCompressor(level=1)
         for i in range(0, COUNTERS, BLOCK):
             if counts[i : i + BLOCK].any():
-                yield _batch({"kind": [1], "k": [None], "n": [None], "node": [None], "proof": [None], "block": [i // BLOCK], "counts": [squeeze.compress(counts[i : i + BLOCK].tobytes())]}, kinds)
+                yield _batch({c: [None] for c in kinds} | {"kind": [1], "block": [i // BLOCK], "counts": [squeeze.compress(counts[i : i + BLOCK].tobytes())]}, kinds)
+
+    return docs.select("k", "h", "text").mapInArrow(memory.tidy(scan), _SET)
+
+
+def _told_apart(table: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """table with names that no two sets share, and the new names by (node, proof).
 
-    return docs.select("k", "text").mapInArrow(memory.tidy(scan), _SET)
+    Names have 64 bits: of 10 billion sets about three clash, and only clashing ones come to the driver.
+    """
+    some = table.where("n > 0")
+    twice = some.groupBy("node").agg(F.min("proof").alias("a"), F.max("proof").alias("b")).where("a <> b").select("node")
+    clashing = sorted((r["node"], r["proof"]) for r in some.join(F.broadcast(twice), "node").select("node", "proof").distinct().collect())
+    renamed: dict[tuple[int, int], int] = {}
+    todo = [x for i, x in enumerate(clashing) if i and clashing[i - 1][0] == x[0]]
+    salt = 0
+    while todo:
+        salt += 1
+        made = {x: int(shingles.mix(np.array([x[0] ^ x[1]], np.int64).view(np.uint64) + np.uint64(salt)).view(np.int64)[0]) for x in todo}
+        taken = {r["node"] for r in some.where(F.col("node").isin(list(made.values()))).select("node").distinct().collect()} | set(renamed.values())
+        for x, name in made.items():
+            if name not in taken:
+                renamed[x] = name
+                taken.add(name)
+        todo = [x for x in todo if x not in renamed]
+    if not renamed:
+        return table, {}
+    other = table.sparkSession.createDataFrame([(*x, name) for x, name in renamed.items()], "node long, proof long, other long")
+    return table.join(F.broadcast(other), ["node", "proof"], "left").withColumn("node", F.coalesce("other", "node")).drop("other"), renamed
 
 
 def _sketch(found: DataFrame) -> np.ndarray:
@@ -114,7 +153,7 @@ def _sketch(found: DataFrame) -> np.ndarray:
     return out
 
 
-def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
+def _prefixes(docs: DataFrame, sketch: np.ndarray, names: Names) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     kinds = {"token": pa.int64(), "node": pa.int64(), "n": pa.int32(), "end": pa.int64(), "pos": pa.int32()}
 
@@ -126,7 +165,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
             for a, b in tokens.groups(texts, 4_000_000):
                 out: list[tuple[np.ndarray, int, int, int]] = []
                 for s in shingles.distinct(texts.slice(a, b - a)):
-                    if not len(s) or (m := _node(s)[0]) in seen:
+                    if not len(s) or (m := names.of(s)) in seen:
                         continue
                     seen.add(m)
                     length = len(s) - math.ceil(PERCENT * len(s) / 100) + 1
@@ -170,61 +209,72 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token", "node").mapInArrow(memory.tidy(walk), _ROW + ", head long, head_n int, head_end long")
 
 
-def few(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast where it has at most FEW rows."""
-    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+def few(df: DataFrame, size: str = "1") -> DataFrame:
+    """df, marked for broadcast where it has at most FEW rows, or where what size says of its rows adds up to that."""
+    return F.broadcast(df) if (df.agg(F.expr(f"sum({size})")).first()[0] or 0) <= FEW else df
+
 
+def _served(docs: DataFrame, table: DataFrame, asks: DataFrame, names: Names) -> DataFrame:
+    """asks (node, x, y, b) -> x, y, b, s: the shingles of node, from one row of docs that has them.
 
-def _members(docs: DataFrame, table: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node, s: the shingles of the nodes of pairs, each from one row of docs that has them."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = table.join(nodes, "node").groupBy("node").agg(F.min("k").alias("k")).select(F.col("k").alias("__k"), F.col("node").alias("__node"))
-    rows = docs.join(few(scratch.keep(wanted, "ngram-wanted")), F.col("k") == F.col("__k")).select("__node", "text")
+    The sets travel once, from the scan to where they are compared. A node that very
+    many ask for is read by several rows, SERVED requests each.
+    """
+    parts = asks.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / SERVED).alias("parts"))
+    dealt = asks.join(parts, "node").groupBy("node", F.pmod(F.xxhash64("x", "y", "b"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("x", "y", "b")).alias("asks"))
+    rep = table.groupBy("node").agg(F.min(F.struct("k", "h")).alias("r"))
+    wanted = dealt.join(rep, "node").select(F.col("r.k").alias("__k"), F.col("r.h").alias("__h"), F.col("node").alias("__node"), "asks")
+    rows = docs.join(few(scratch.keep(wanted, "ngram-wanted"), "size(asks)"), F.col("k").eqNullSafe(F.col("__k")) & (F.col("h") == F.col("__h"))).select("__node", "text", "asks")
 
     def scan(batches):
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            ids, texts, asked = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
             for a, b in tokens.groups(texts, 4_000_000):
-                own = [(m, s.tobytes()) for m, s in zip(ids[a:b], shingles.distinct(texts.slice(a, b - a)), strict=True) if len(s) and _node(s)[0] == m]
-                yield pa.RecordBatch.from_pydict({"node": pa.array([m for m, _ in own], pa.int64()), "s": pa.array([s for _, s in own], pa.binary())})
+                for m, s, own in zip(ids[a:b], shingles.distinct(texts.slice(a, b - a)), asked[a:b], strict=True):
+                    if len(s) and names.of(s) == m:
+                        data = s.tobytes()
+                        step = max(1, 16_000_000 // max(1, len(data)))
+                        for i in range(0, len(own), step):
+                            part = own[i : i + step]
+                            yield pa.RecordBatch.from_pydict({"x": pa.array([q["x"] for q in part], pa.int64()), "y": pa.array([q["y"] for q in part], pa.int64()), "b": pa.array([q["b"] for q in part], pa.int64()), "s": pa.array([data] * len(part), pa.binary())})
 
-    return rows.mapInArrow(memory.tidy(scan), "node long, s binary")
+    return rows.mapInArrow(memory.tidy(scan), "x long, y long, b long, s binary")
 
 
-def links(pairs: DataFrame, members: DataFrame) -> DataFrame:
+def links(pairs: DataFrame, docs: DataFrame, table: DataFrame, names: Names) -> DataFrame:
     """Those of pairs (a, b) that link, by their whole sets. Pairs of one a are dealt to parts of about TOGETHER."""
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("parts"))
-    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
-    heads = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"))
-    rows = dealt.join(members, dealt["b"] == members["node"]).select("a", "part", "b", "s")
-    rows = rows.unionByName(heads.join(members, heads["a"] == members["node"]).select("a", "part", F.lit(None).cast("long").alias("b"), "s"))
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("long").alias("parts"))
+    dealt = pairs.join(parts, "a").select(F.col("b").alias("node"), F.col("a").alias("x"), F.pmod(F.xxhash64("b"), F.col("parts")).alias("y"), "b")
+    heads = parts.select(F.col("a").alias("node"), F.col("a").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("y"), F.lit(None).cast("long").alias("b"))
+    rows = _served(docs, table, dealt.unionByName(heads), names)
 
     def compare(batches):
-        a = part = head = None
+        a = part = head = last = None
         for batch in batches:
             found: list[tuple[int, int]] = []
             for x, p, b, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = np.frombuffer(s, np.uint64)
                 if b is None:
-                    a, part, head = x, p, own
-                elif x == a and p == part:
+                    a, part, head, last = x, p, own, None
+                elif x == a and p == part and b != last:
+                    last = b
                     both = len(np.intersect1d(head, own, assume_unique=True))
                     if 100 * both >= PERCENT * (len(head) + len(own) - both):
                         found.append((a, b))
             yield pa.RecordBatch.from_pydict({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    order = rows.repartition("a", "part").sortWithinPartitions(F.col("a"), F.col("part"), F.col("b").asc_nulls_first())
+    order = rows.repartition("x", "y").sortWithinPartitions(F.col("x"), F.col("y"), F.col("b").asc_nulls_first())
     return order.mapInArrow(memory.tidy(compare), "a long, b long")
 
 
-def dense_links(pairs: DataFrame, members: DataFrame) -> DataFrame:
+def dense_links(pairs: DataFrame, docs: DataFrame, table: DataFrame, names: Names) -> DataFrame:
     """links() for pairs among few nodes: nodes are dealt to blocks of about BLOCK_NODES, and a node's shingles travel once for each pair of blocks."""
     n = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().count()
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(max(1, n // BLOCK_NODES)))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(max(1, n // BLOCK_NODES))).cast("long")
     dealt = pairs.select(block("a").alias("x"), block("b").alias("y"), "a", "b")
-    wanted = dealt.select("x", "y", F.col("a").alias("node")).union(dealt.select("x", "y", "b")).distinct()
-    rows = wanted.join(members, "node").select("x", "y", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "s")
-    rows = rows.unionByName(dealt.withColumn("s", F.lit(None).cast("binary")))
+    wanted = dealt.select(F.col("a").alias("node"), "x", "y").union(dealt.select("b", "x", "y")).distinct()
+    sets_ = _served(docs, table, wanted.withColumn("b", F.col("node")), names)  # b tells whose set it is
+    rows = sets_.select("x", "y", F.col("b").alias("a"), F.lit(None).cast("long").alias("b"), "s").unionByName(dealt.withColumn("s", F.lit(None).cast("binary")))
 
     def compare(batches):
         place, held = None, {}
@@ -265,43 +315,52 @@ def _ends(x: str, y: str, of_x: Column, of_y: Column) -> Column:
     return F.when(F.col(x) < F.col(y), of_x).when(F.col(x) > F.col(y), of_y).otherwise(F.greatest(of_x, of_y))
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text; other columns are ignored).
 
     component_id is the least doc_id that links reach, itself included. A text
     without words has no shingles and no links. Null doc_ids count as absent: a
     component takes its id from the others, and is null where it has no other. Rows
     with equal doc_id are judged each by its own text. An empty table gives no rows.
+    Sets are named by so many bits, and told apart by 64 more where names clash.
     """
-    base = docs.select(F.coalesce(F.col("doc_id"), F.lit(_NULL_ID)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    found = scratch.keep(sets(base), "ngram-sets")
-    table = found.where("kind = 0").select("k", "n", "node", "proof")
-    clash = table.where("n > 0").groupBy("node").agg(F.min("proof").alias("a"), F.max("proof").alias("b")).where("a <> b")
-    if clash.limit(1).count():
-        raise ValueError("two sets of shingles have the same 64-bit name")
-    rows = scratch.keep(_shared(_prefixes(base, _sketch(found))), "ngram-prefixes")
+    return _joined(docs, bits).select("doc_id", "n_shingles", "component_id")
+
+
+def _joined(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """join(), with the hash of each row's text (h)."""
+    base = docs.select(F.col("doc_id").alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    found = scratch.keep(sets(base, bits), "ngram-sets")
+    table, renamed = _told_apart(found.where("kind = 0").select("k", "h", "n", "node", "proof"))
+    names = Names(bits, renamed)
+    rows = scratch.keep(_shared(_prefixes(base, _sketch(found), names)), "ngram-prefixes")
+
     def compared(pairs: DataFrame) -> DataFrame:
         """Links among pairs (a, n, end, b, m, end2, one row for each shingle they are known to share) that the bound allows."""
         counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("n", "end", "m", "end2")])
         allowed = _enough(F.col("c") + _ends("end", "end2", _behind("n"), _behind("m")), "n", "m")
         wanted = scratch.keep(counted.where(_fits("n", "m") & allowed).select("a", "b"), "ngram-pairs")
-        return scratch.keep(links(wanted, scratch.keep(_members(base, table, wanted), "ngram-members")), "ngram-links")
+        return scratch.keep(links(wanted, base, table, names), "ngram-links")
 
-    def mixed(cells: DataFrame, near: DataFrame) -> DataFrame:
-        """Cells with the group of their node, of those shingles that several groups hold."""
-        named = cells.join(scratch.keep(components.label(near), "ngram-groups"), "node", "left").withColumn("g", F.coalesce("label", "node")).drop("label")
-        several = named.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select("token")
-        return scratch.keep(named.join(several, "token"), "ngram-cells")
+    def several(cells: DataFrame) -> DataFrame:
+        """Cells of those shingles that several groups hold."""
+        whole = Window.partitionBy("token")
+        return cells.withColumn("x", F.min("g").over(whole)).withColumn("y", F.max("g").over(whole)).where("x <> y").drop("x", "y")
 
     near = compared(rows.where("head <> node").select(F.col("head").alias("a"), F.col("head_n").alias("n"), F.col("head_end").alias("end"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("end").alias("end2")))
     own = Window.partitionBy("node")
     f, r = F.count(F.lit(1)).over(own), F.row_number().over(own.orderBy("pos"))
-    cells = mixed(rows.select("token", "node", "n", "end", f.alias("f"), (f - r).alias("room")).withColumn("reach", _behind("n") + F.col("f")), near)
+    cells = rows.select("token", "node", "n", "end", f.alias("f"), (f - r).alias("room")).withColumn("reach", _behind("n") + F.col("f"))
+    cells = cells.join(scratch.keep(components.label(near), "ngram-groups"), "node", "left").withColumn("g", F.coalesce("label", "node")).drop("label")
     best = Window.partitionBy("token").orderBy(F.desc(F.col("f") / F.col("n")), "node")
-    hub = lambda c: F.first(c).over(best)
-    starred = cells.select(hub("node").alias("a"), hub("n").alias("n"), hub("end").alias("end"), hub("g").alias("h"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("end").alias("end2"), "g")
-    near = near.unionByName(compared(starred.where("g <> h").drop("g", "h")))
-    cells = mixed(cells.drop("g"), near)
+    hub = F.first(F.struct("node", "n", "end", "g")).over(best)
+    cells = scratch.keep(several(cells.withColumn("hub", hub)), "ngram-cells")
+    starred = cells.where("g <> hub.g").select(F.col("hub.node").alias("a"), F.col("hub.n").alias("n"), F.col("hub.end").alias("end"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("end").alias("end2"))
+    near = near.unionByName(compared(starred))
+    # A group is named by one of its nodes, so that the names of groups that grew tell the new ones.
+    grown = scratch.keep(components.label(near).where("node <> label").select(F.col("node").alias("g"), "label"), "ngram-groups")
+    cells = cells.drop("hub").join(few(grown), "g", "left").withColumn("g", F.coalesce("label", "g")).drop("label")
+    cells = scratch.keep(several(cells), "ngram-cells")
 
     matrix = cells.groupBy("token", F.col("g").alias("h")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("end").alias("soonest"), F.max("reach").alias("farthest"), F.max("room").alias("widest"))
     first = F.col("end") < F.col("soonest")  # the node's prefix ends before those of all members that hold the shingle
@@ -316,23 +375,23 @@ def join(docs: DataFrame) -> DataFrame:
     links_ = links_ & _enough(1 + F.least("room", "room2") + _ends("end", "end2", _behind("n"), _behind("m")), "n", "m")
     pairs = met.select("t", "a", "n", "end", "reach", "room", "h").join(other, (F.col("t") == F.col("t2")) & (F.col("h") == F.col("h2")) & links_).select("a", "b").distinct()
     pairs = scratch.keep(pairs, "ngram-opened")
-    near = near.unionByName(dense_links(pairs, scratch.keep(_members(base, table, pairs), "ngram-members")))
+    near = near.unionByName(dense_links(pairs, base, table, names))
     every = scratch.keep(components.label(near), "ngram-components")
 
-    own = table.join(every, "node", "left").select("k", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("c"))
-    least = own.where("c IS NOT NULL").groupBy("c").agg(F.min(F.when(F.col("k") != _NULL_ID, F.col("k"))).alias("component_id"))
-    doc_id = F.when(F.col("k") != _NULL_ID, F.col("k"))
-    return own.join(least, "c", "left").select(doc_id.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), doc_id).otherwise(F.col("component_id")).alias("component_id"))
+    own = table.join(every, "node", "left").select("k", "h", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("c"))
+    least = own.where("c IS NOT NULL").groupBy("c").agg(F.min("k").alias("component_id"))
+    return own.join(least, "c", "left").select(F.col("k").alias("doc_id"), "h", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("k")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each component the one with the least doc_id.
 
-    Texts without words and rows without a doc_id stay; a doc_id goes with all its rows.
+    Texts without words and rows without a doc_id stay. Rows that share a doc_id are
+    judged each by its text; equal rows stay or go together.
     """
-    found = join(docs)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(few(scratch.keep(gone, "ngram-gone")), F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = _joined(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone"), F.col("h").alias("__text")).distinct()
+    same = (docs["doc_id"] == F.col("__gone")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__text"))
+    return docs.join(few(scratch.keep(gone, "ngram-gone")), same, "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

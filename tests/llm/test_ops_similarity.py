@@ -68,6 +68,24 @@ def test_op10_near_the_threshold(spark, seed):
     assert left == {k for k, c in cases.components(docs).items() if k == c}
 
 
+def test_op10_sets_of_one_name_are_told_apart(spark):
+    docs = pd.DataFrame(near_copies(3), columns=["doc_id", "text"])
+    got = jaccard_join.join(spark.createDataFrame(docs), bits=3).toPandas().set_index("doc_id")  # eight names for all sets
+    assert got.component_id.to_dict() == cases.components(docs)
+
+
+def test_op10_ids_of_every_kind(spark):
+    words = [f"w{i}" for i in range(40)]
+    a, b = " ".join(words), " ".join(words + ["end"])
+    rows = [(-(1 << 63), a), (None, b), (5, b), (5, "something else entirely"), (7, "something else entirely")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in jaccard_join.join(docs).collect()}
+    low = -(1 << 63)
+    assert got == {(low, 36): low, (None, 37): low, (5, 37): low, (5, 1): 5, (7, 1): 5}
+    kept = {(r["doc_id"], r["text"]) for r in jaccard_join.keep_first(docs).collect()}
+    assert kept == {(low, a), (None, b), (5, "something else entirely")}  # a row goes by its own text
+
+
 def test_op10_awkward(spark):
     docs = cases.awkward(spark)
     got = jaccard_join.join(docs).toPandas()
