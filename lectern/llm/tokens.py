@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,9 @@ MEMO_CHARS = 12
 #: Entries of the memo (about 200 bytes each) and bytes of text encoded at a time, where nothing else is said.
 MEMO, GROUP_CHARS = 600_000, 5_000_000
 
+#: What stands between chunks that are encoded together, and how many are.
+SEPARATOR, JOINED = "\u2063", 64
+
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
 
 
@@ -82,13 +86,28 @@ class ChunkEncoder:
         new = [i for i, x in enumerate(got) if x is None]
         for j in range(0, len(new), 50_000):
             part = new[j : j + 50_000]
-            for i, e in zip(part, self.tokenizer.encode_batch_fast([keys[i] for i in part], add_special_tokens=False), strict=True):
-                got[i] = np.array(e.ids, "<u4").tobytes()
+            for i, ids in zip(part, self._encoded([keys[i] for i in part]), strict=True):
+                got[i] = ids
                 if len(keys[i]) <= MEMO_CHARS:
-                    self.memo[keys[i]] = got[i]
+                    self.memo[keys[i]] = ids
         return np.fromiter(map(len, got), np.int64, len(got)) // 4, np.frombuffer(b"".join(got), "<u4")
 
 
+    def _encoded(self, keys: list[str]) -> list[bytes]:
+        """The ids of each chunk. Where white space is dropped, many go to the library as one text with a mark between them."""
+        one = lambda some: [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        if self.spaced:
+            return one(keys)
+        between = one([SEPARATOR])[0]
+        sets = [keys[i : i + JOINED] for i in range(0, len(keys), JOINED)]
+        out: list[bytes] = []
+        for own, ids in zip(sets, one([f" {SEPARATOR} ".join(own) for own in sets]), strict=True):
+            parts = ids.split(between) if between else []
+            # A chunk that holds the mark, or bytes that only look like it, shows by the count or by a part of odd length.
+            out += parts if len(parts) == len(own) and all(len(x) % 4 == 0 for x in parts) and not any(SEPARATOR in x for x in own) else one(own)
+        return out
+
+
 def encoder(vocabulary: str, spaced: bool, most: int = MEMO) -> ChunkEncoder:
     """One encoder for each Python worker and vocabulary."""
     key = (hash(vocabulary), spaced, most)
