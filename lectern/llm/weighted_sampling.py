@@ -22,15 +22,23 @@ _NULL_ID = -(1 << 63)
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
-def runs(text: Column) -> Column:
-    """The words of a text in order, each once, repeated as often as it comes: "b a b" gives "a ", "b b "."""
-    joined = F.concat(F.array_join(F.sort_array(F.split(text, _SPACE)), " "), F.lit(" "))
-    return F.regexp_extract_all(joined, F.lit(r"(\S+ )\1*"), F.lit(0))
+def runs(a: Column, b: Column) -> Column:
+    """The words of two texts, each once: word, its count in a, its count in b.
+
+    A word of a gets a tab behind it and one of b a newline; sorted, all of one word
+    stand together, and the tabs and newlines of its run are its counts.
+    """
+    marked = lambda text, mark: F.transform(F.filter(F.split(text, _SPACE), lambda w: w != ""), lambda w: F.concat(w, F.lit(mark)))
+    joined = F.array_join(F.sort_array(F.concat(marked(a, "\t"), marked(b, "\n"))), "")
+    found = F.regexp_extract_all(joined, F.lit(r"([^\t\n]+)[\t\n](?:\1[\t\n])*"), F.lit(0))
+    size = lambda run, drop: F.octet_length(run) - F.octet_length(F.replace(run, F.lit(drop), F.lit("")))
+    return F.transform(found, lambda r: F.struct(F.substring_index(F.substring_index(r, "\t", 1), "\n", 1).alias("word"), size(r, "\t").alias("in_a"), size(r, "\n").alias("in_b")))
 
 
 def _draw(h: Column, log_weight: Column, d: int) -> Column:
-    """Rank of a term in draw d in the upper half of a long, what the draw would keep in the lower."""
-    a, b = F.xxhash64(h, F.lit(2 * d)), F.xxhash64(h, F.lit(2 * d + 1))
+    """Rank of a term in draw d in the upper half of a long, what the draw would keep in the lower; null where the weight is."""
+    a = F.xxhash64(h, F.lit(d))
+    b = F.xxhash64(a)
     part = lambda x, shift, bits: (F.shiftrightunsigned(x, shift).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(0.5)) / F.lit(float(1 << bits))
     r = -F.log(part(a, 0, 21) * part(a, 21, 21))
     beta = part(a, 42, 22)
@@ -39,7 +47,7 @@ def _draw(h: Column, log_weight: Column, d: int) -> Column:
     rank = F.log(c) - r * (t - beta) - r
     place = F.greatest(F.lit(0).cast("long"), F.floor((rank + F.lit(100.0)) * F.lit(float(1 << 24))))
     kept = h.bitwiseXOR(t * F.lit(2654435761)).bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.shiftleft(place, 32).bitwiseOR(kept)
+    return F.when(log_weight.isNotNull(), F.shiftleft(place, 32).bitwiseOR(kept))
 
 
 def _fingerprint(prefix: str, samples: int) -> Column:
@@ -55,19 +63,19 @@ def likeness(a: str, b: str, samples: int = SAMPLES) -> Column:
 
 
 def signatures(texts: DataFrame, keys: list[str], sides: dict[str, Column], samples: int = SAMPLES) -> DataFrame:
-    """keys and, for each name in sides, the fingerprint of that text; keys tell the rows of texts apart.
+    """keys and, for each of the two names in sides, the fingerprint of that text; keys tell the rows of texts apart.
 
     Words are sorted and run together inside their row, so that counting needs no
-    shuffle; the minimum over a document's terms is the one aggregate, and stays in
-    place where the rows are already dealt by one of the keys.
+    shuffle, and a word that both texts have is drawn for once; the minimum over a
+    document's terms is the one aggregate, and stays in place where the rows are
+    already dealt by one of the keys.
     """
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("side"), c.alias("text")) for n, c in sides.items()]))
-    terms = texts.select(*keys, each.alias("__t")).select(*keys, "__t.side", F.explode_outer(runs(F.col("__t.text"))).alias("run"))
-    word = F.substring_index("run", " ", 1)
-    weighed = terms.select(*keys, "side", F.when(F.col("run").isNotNull(), F.xxhash64(word)).alias("h"), F.log(F.octet_length("run") / (F.octet_length(word) + 1)).alias("lw"))
-    drawn = weighed.groupBy(*keys, "side").agg(*[F.min(_draw(F.col("h"), F.col("lw"), d)).alias(f"d{d}") for d in range(samples)])
-    marked = drawn.select(*keys, "side", _fingerprint("d", samples).alias("f"))
-    return marked.groupBy(*keys).agg(*[F.max(F.when(F.col("side") == n, F.col("f"))).alias(n) for n in sides])
+    one, two = sides
+    terms = texts.select(*keys, F.explode_outer(runs(sides[one], sides[two])).alias("w"))
+    lw = lambda n: F.when(F.col(n) > 0, F.log(F.col(n)))
+    weighed = terms.select(*keys, F.when(F.col("w.word").isNotNull(), F.xxhash64("w.word")).alias("h"), lw("w.in_a").alias("a"), lw("w.in_b").alias("b"))
+    drawn = weighed.groupBy(*keys).agg(*[F.min(_draw(F.col("h"), F.col(x), d)).alias(f"{x}{d}") for d in range(samples) for x in ("a", "b")])
+    return drawn.select(*keys, _fingerprint("a", samples).alias(one), _fingerprint("b", samples).alias(two))
 
 
 def followers(keys: DataFrame) -> DataFrame:
