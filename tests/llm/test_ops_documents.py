@@ -391,3 +391,38 @@ def test_op9_one_page_under_two_addresses(spark):
     assert [got[k]["text"] for k in (1, 2, 3, 4)] == ["One" + text, "One" + text, "One" + text + "\n12:01", "Two" + text]
     assert got[1]["near_url"] == got[2]["near_url"] == "http://h/b"
     assert "Six" + text in got[5]["text"] and got[5]["near_url"] is None
+
+
+def test_op9_texts_do_not_depend_on_parts(spark):
+    r = random.Random(2)
+    page = lambda i: f"<body><div>Site name</div><div>Section {i // 7}</div><p>Own text of page {i} " + "and more " * r.randrange(30) + f"</p><div>{'Read on' if i % 3 else 'Stop'}</div><div>All rights reserved</div></body>"
+    rows = [(i, f"http://h/{i // 5}/{i}", page(i)) for i in range(40)]
+    rows += [(100 + i, f"http://h/3/15?copy={i}", rows[15][2]) for i in range(5)] + [(100, "http://h/3/15?copy=0", rows[15][2])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = [sorted((x["page_id"], x["url"], x["text"], x["near_url"]) for x in html_text.extract(df.repartition(n), parts=p).collect()) for n, p in ((1, 1), (3, 8), (5, 40), (2, 200))]
+    assert texts[0] == texts[1] == texts[2] == texts[3] and len(texts[0]) == len(rows)
+    assert all("Site name" not in x[2] and "Own text" in x[2] for x in texts[0])
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article class="post with-sidebar"><p>Kept</p></article>', "Kept"),
+        ('<div class="content share-enabled"><p>Kept</p></div>', "Kept"),
+        ('<div id="main" class="no-sidebar"><p class="notice-period">Kept</p></div>', "Kept"),
+        ('<article><div class="article-header"><h1>Kept</h1></div><p>Too</p><div class="share-buttons">Share</div></article>', "Kept\nToo"),
+        ('<div class="main-nav">Menu</div><div class="cookie_notice">Cookies</div><p>Kept</p><div id=related-posts>More</div><section class="comment-list"><p>First!</p></section>', "Kept"),
+        ("<html><head><title>T</title><meta charset=x><body><p>Kept</p></body></html>", "Kept"),
+        ("<head><title>T</title><p>Kept</p>", "Kept"),
+        ("<p>a<svg/>b</p><iframe src=x /><p>c<select><option>d", "ab\ncd"),
+        ("<p>a</p><script>var x = '<p>no</p>'; if (a < b) {", "a"),
+        ("<p>long " + "words " * 40_000 + "</p>", "long " + " ".join(["words"] * 40_000)),
+    ],
+)
+def test_op9_markup(page, text):
+    assert html_text.main_text(html_text.lines(page), None)[0] == text
+
+
+def test_op9_differencing_deletes_lines_of_the_table(spark):
+    got = frame(html_text.query(spark, "/root/testdata/sf0.01"))
+    assert got.n_deleted.sum() > 0 and got.near_url.notna().mean() > 0.9
