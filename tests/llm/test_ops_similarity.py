@@ -240,3 +240,53 @@ def test_op6_lone_pairs_near_the_threshold(spark):
         assert 0.75 <= len(a & b) / len(a | b) < 0.76
     got = compact_windows.passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).toPandas()
     assert set(zip(got.doc_id, got.other_id, strict=True)) == {(2 * k + 1, 2 * k) for k in range(400)}
+
+
+def clusters(seed, n, size=4, words=80):
+    """Documents of fresh words that each hold an edited copy of their cluster's passage, of similarity 0.75 to 0.85 with each other."""
+    r = random.Random(seed)
+    fresh = lambda k: [f"n{r.randrange(10**9)}" for _ in range(k)]
+    docs = []
+    for g in range(n):
+        passage = fresh(words)
+        for k in range(size):
+            own = list(passage)
+            own[6 + 20 * k] = f"e{r.randrange(10**9)}"
+            docs.append((g * 10 + k, " ".join(fresh(60) + own + fresh(60)), own))
+    return docs
+
+
+def test_op6_clusters_of_edited_copies(spark):
+    docs = clusters(11, 80)
+    one, two = (cases.shingles(" ".join(x[2])) for x in docs[:2])
+    assert 0.75 <= len(one & two) / len(one | two) < 0.8
+    df = spark.createDataFrame([x[:2] for x in docs], "doc_id long, text string")
+    rows_ = [sorted(map(tuple, compact_windows.passages(df.repartition(n)).collect())) for n in (1, 8)]
+    assert rows_[0] == rows_[1]
+    up = {x[0]: x[0] for x in docs}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for x in rows_[0]:
+        up[top(x[0])] = top(x[3])
+    pairs = [(g * 10 + i, g * 10 + j) for g in range(80) for i in range(4) for j in range(i)]
+    assert np.mean([top(a) == top(b) for a, b in pairs]) >= 0.98
+    assert all(a // 10 == b // 10 for a, b in ((x[0], x[3]) for x in rows_[0]))
+
+
+def test_op6_passages_around_a_common_line(spark):
+    """A line of 20 words stands in every document; passages around it are found all the same, and what is unlike stays apart."""
+    r = random.Random(4)
+    fresh = lambda k: [f"n{r.randrange(10**9)}" for _ in range(k)]
+    line, docs = fresh(20), []
+    for k in range(150):
+        docs.append((k, " ".join(fresh(50) + line + fresh(50))))
+    for g in range(10):
+        passage = fresh(25) + line + fresh(25)
+        docs += [(1000 + 10 * g + k, " ".join(fresh(40) + passage + fresh(40))) for k in range(3)]
+    got = compact_windows.passages(spark.createDataFrame(docs, "doc_id long, text string")).toPandas()
+    assert {(min(a, b) // 10, max(a, b) // 10) for a, b in zip(got.doc_id, got.other_id, strict=True)} == {(100 + g, 100 + g) for g in range(10)}
+    assert set(got.doc_id) | set(got.other_id) == {k for k, _ in docs if k >= 1000}
