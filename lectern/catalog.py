@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lectern import registry
-from lectern.plans import answer_queries, evidence_queries, index_queries, rule_queries, search_queries, text_queries  # noqa: F401  (they register their queries)
+from lectern.plans import answer_queries, block_queries, evidence_queries, index_queries, rule_queries, search_queries, text_queries  # noqa: F401  (they register their queries)
 
 
 def queries() -> dict[str, registry.Query]:
