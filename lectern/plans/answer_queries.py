@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.operators import fusion
 from lectern.plans import sql as S
-from lectern.plans.search_queries import _BM25, _TOP12, _scored, _top12
+from lectern.plans.search_queries import _BM25, _TOP12, _search, _top12
 from lectern.plans.text_queries import literal, values
 from lectern.registry import query, table
 
@@ -36,8 +36,7 @@ f AS (SELECT request, doc_id, round(sum(CASE WHEN ix = 0 THEN 1.15 ELSE 1.0 END
 SELECT request, doc_id, score, row_number() OVER (PARTITION BY request ORDER BY score DESC, first, doc_id) AS rank FROM f QUALIFY rank <= 18""")
 def multi_query_fusion(spark, d):
     """Two passages as one request's question and its variation: the question's list weighs 1.15."""
-    order = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    lists = _scored(spark, d).withColumn("rank", F.row_number().over(order)).where("rank <= 18")
+    lists = _search(spark, d, 18)
     ix = F.col("item_id") % 2
     hits = lists.select(F.floor(F.col("item_id") / 2).cast("long").alias("request"), "doc_id", "rank", ix.alias("list_ix"), F.when(ix == 0, 1.15).otherwise(1.0).alias("weight"))
     return fusion.rank_fused(fusion.fuse(hits, "request", "doc_id"), "request", "doc_id", 18).select("request", "doc_id", "score", "rank")

@@ -209,14 +209,15 @@ def relationship_score(spark, d):
     return table(spark, d, "documents").select("doc_id", total.cast("long").alias("score"))
 
 
-@query(f"""WITH a AS (SELECT item_id, {S.distinct_terms("regexp_extract(text, '^[^.]*')", T.CONTENT_STOPWORDS)} AS a FROM benchmark WHERE item_id % 4 = 0)
+@query(f"""WITH a AS (SELECT item_id, {S.distinct_terms("regexp_extract(text, '^[^.]*')", T.CONTENT_STOPWORDS)} AS a FROM benchmark)
 SELECT doc_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS aspects FROM (SELECT doc_id, {S.distinct_terms('text', T.CONTENT_STOPWORDS)} AS t FROM documents), a
 WHERE len(a) > 0 AND len(list_intersect(a, t)) = len(a) GROUP BY doc_id""")
 def aspect_tags(spark, d):
-    """The aspects (first sentences of each fourth passage) whose terms a document all has."""
-    asked = table(spark, d, "benchmark").where("item_id % 4 = 0").select("item_id", F.array_distinct(T.content_terms(F.regexp_extract("text", "^[^.]*", 0))).alias("a")).where("size(a) > 0")
+    """The aspects (first sentences of passages) whose terms a document all has: as many common terms as the aspect has."""
+    asked = table(spark, d, "benchmark").select("item_id", F.array_distinct(T.content_terms(F.regexp_extract("text", "^[^.]*", 0))).alias("a")).where("size(a) > 0")
     told = table(spark, d, "documents").select("doc_id", F.array_distinct(T.content_terms(F.col("text"))).alias("t"))
-    met = told.join(F.broadcast(asked), F.size(F.array_except("a", "t")) == 0)
+    asked = asked.select("item_id", F.size("a").alias("n"), F.explode("a").alias("term"))
+    met = told.select("doc_id", F.explode("t").alias("term")).join(asked, "term").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("both"), F.first("n").alias("n")).where("both = n")
     return met.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("item_id")), lambda i: i.cast("string")), ",").alias("aspects"))
 
 

@@ -29,39 +29,39 @@ l AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORD
          JOIN (SELECT doc_id, list_distinct(list_filter({S.tokens('text')}, lambda t: t NOT IN {S.names(T.STOPWORDS)})) AS t FROM documents) USING (doc_id)))"""
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.bm25(table(spark, d, "documents"), "doc_id", table(spark, d, "benchmark"), "item_id")
+def _search(spark: SparkSession, d: str, k: int, among: DataFrame | None = None) -> DataFrame:
+    found = lexical.search(lexical.index(table(spark, d, "documents"), "doc_id"), table(spark, d, "benchmark"), "item_id", k, among)
+    return found.select("item_id", "doc_id", "score", "rank")
 
 
 def _top12(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.top(_scored(spark, d), ["item_id"], "doc_id", 12)
+    return _search(spark, d, 12)
 
 
 def _reranked(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:
     """hits ordered anew by overlap of terms, the scorer that needs no model."""
     asked = table(spark, d, "benchmark").select("item_id", T.similarity_terms(F.col("text")).alias("q"))
     told = table(spark, d, "documents").select("doc_id", T.similarity_terms(F.col("text")).alias("t"))
-    met = hits.select("item_id", "doc_id").join(F.broadcast(asked), "item_id").join(told, "doc_id")
+    met = hits.select("item_id", "doc_id").join(asked, "item_id").join(told, "doc_id")
     scored = met.select("item_id", "doc_id", F.round(T.term_overlap(F.col("q"), F.col("t")), 6).alias("score"))
     return lexical.top(scored, ["item_id"], "doc_id", 12)
 
 
 @query(f"{_TOP12} SELECT * FROM b")
 def bm25_topk(spark, d):
-    return _top12(spark, d).select("item_id", "doc_id", "score", "rank")
+    return _top12(spark, d)
 
 
 @query(f"WITH {_BM25} SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE contains(lower(source), 'src1') QUALIFY rank <= 4")
 def bm25_preferred_source(spark, d):
     """The four best among preferred sources; scores are those of the whole corpus."""
     liked = table(spark, d, "documents").where(F.contains(F.lower("source"), F.lit("src1"))).select("doc_id")
-    return lexical.top(_scored(spark, d).join(liked, "doc_id", "left_semi"), ["item_id"], "doc_id", 4).select("item_id", "doc_id", "score", "rank")
+    return _search(spark, d, 4, liked)
 
 
 @query(f"WITH {_BM25} SELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM stats")
 def term_stats(spark, d):
-    docs = table(spark, d, "documents")
-    stats = lexical.term_statistics(lexical.postings(docs, "doc_id"), docs.agg(F.count(F.lit(1)).alias("n")))
+    stats = lexical.index(table(spark, d, "documents"), "doc_id").terms
     return stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -69,20 +69,20 @@ _DIST = "round(list_sum(list_transform(range(1, 65), lambda i: (CAST(e.embedding
 
 
 def _asked_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("wanted"))
+    return table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("wanted"))
 
 
-@query(f"SELECT q.vec_id AS query_id, e.vec_id, {_DIST} AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, e.vec_id) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q QUALIFY rank <= 12")
+@query(f"SELECT q.vec_id AS query_id, e.vec_id, {_DIST} AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, e.vec_id) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q QUALIFY rank <= 12")
 def knn_topk(spark, d):
     return vectors.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", _asked_vectors(spark, d), "query_id", "wanted", 12)
 
 
-@query(f"SELECT q.vec_id AS query_id, e.vec_id, {_DIST} AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, e.vec_id) AS rank FROM (SELECT * FROM embeddings WHERE label IN (2, 3)) e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q QUALIFY rank <= 12")
+@query(f"SELECT q.vec_id AS query_id, e.vec_id, {_DIST} AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, e.vec_id) AS rank FROM (SELECT * FROM embeddings WHERE label IN (2, 3)) e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q QUALIFY rank <= 12")
 def knn_filtered(spark, d):
     return vectors.nearest(table(spark, d, "embeddings").where("label IN (2, 3)"), "vec_id", "embedding", _asked_vectors(spark, d), "query_id", "wanted", 12)
 
 
-@query(f"SELECT q.vec_id AS query_id, e.label, e.vec_id, {_DIST} AS distance, row_number() OVER (PARTITION BY q.vec_id, e.label ORDER BY {_DIST}, e.vec_id) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q QUALIFY rank <= 4")
+@query(f"SELECT q.vec_id AS query_id, e.label, e.vec_id, {_DIST} AS distance, row_number() OVER (PARTITION BY q.vec_id, e.label ORDER BY {_DIST}, e.vec_id) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q QUALIFY rank <= 4")
 def knn_per_group(spark, d):
     return vectors.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", _asked_vectors(spark, d), "query_id", "wanted", 4, within=["label"])
 
@@ -161,14 +161,14 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
 _HITS = f"""
 hits AS (SELECT item_id, doc_id, ix, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, ix) AS rank FROM (
   SELECT item_id, doc_id, ix, CAST(len(list_intersect(q, {S.distinct_terms('c.text', T.COMPRESSION_STOPWORDS)})) AS BIGINT) AS score
-  FROM chunks c, (SELECT item_id, {S.distinct_terms('text', T.COMPRESSION_STOPWORDS)} AS q FROM benchmark WHERE item_id % 10 = 0)) WHERE score > 0 QUALIFY rank <= 6)"""
+  FROM chunks c, (SELECT item_id, {S.distinct_terms('text', T.COMPRESSION_STOPWORDS)} AS q FROM benchmark WHERE item_id % 100 = 0)) WHERE score > 0 QUALIFY rank <= 6)"""
 
 
 def _chunk_hits(spark: SparkSession, d: str) -> DataFrame:
-    """The six chunks that share most terms with each tenth passage, a stated set of questions."""
-    asked = table(spark, d, "benchmark").where("item_id % 10 = 0").select("item_id", F.explode(T.compression_terms(F.col("text"))).alias("t"))
+    """The six chunks that share most terms with each hundredth passage, a stated set of questions."""
+    asked = table(spark, d, "benchmark").where("item_id % 100 = 0").select("item_id", F.explode(T.compression_terms(F.col("text"))).alias("t"))
     told = _chunks(spark, d).select("doc_id", "ix", F.explode(T.compression_terms(F.col("text"))).alias("t"))
-    scored = told.join(F.broadcast(asked), "t").groupBy("item_id", "doc_id", "ix").agg(F.count(F.lit(1)).alias("score"))
+    scored = told.join(asked, "t").groupBy("item_id", "doc_id", "ix").agg(F.count(F.lit(1)).alias("score"))
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id", "ix")
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 6")
 
@@ -209,18 +209,18 @@ def heading_index(spark, d):
     return keyed.groupBy("host", "key").agg(F.min("page_id").alias("first_page"), F.min_by("heading", "page_id").alias("heading"), pages.alias("pages"))
 
 
-_ASKED = f"(SELECT page_id AS query_id, {S.lookup_key(S.clean(_HEADING))} AS key, list_distinct(list_filter({S.tokens(_HEADING)}, lambda t: t NOT IN {S.names(T.STOPWORDS)})) AS q FROM pages WHERE page_id % 25 = 0 AND {_HEADING} <> '')"
+_ASKED = f"(SELECT page_id AS query_id, {S.lookup_key(S.clean(_HEADING))} AS key, list_distinct(list_filter({S.tokens(_HEADING)}, lambda t: t NOT IN {S.names(T.STOPWORDS)})) AS q FROM pages WHERE page_id % 100 = 0 AND {_HEADING} <> '')"
 _TOLD = f"(SELECT page_id, {S.lookup_key(S.clean(_HEADING))} AS key, list_distinct(list_filter({S.tokens(_HEADING)}, lambda t: t NOT IN {S.names(T.STOPWORDS)})) AS t FROM pages WHERE {_HEADING} <> '')"
 
 
 def _asked_headings(spark: SparkSession, d: str) -> DataFrame:
-    return _page_headings(spark, d).where("page_id % 25 = 0").select(F.col("page_id").alias("query_id"), T.heading_key(F.col("heading")).alias("asked"), T.similarity_terms(F.col("heading")).alias("q"))
+    return _page_headings(spark, d).where("page_id % 100 = 0").select(F.col("page_id").alias("query_id"), T.heading_key(F.col("heading")).alias("asked"), T.similarity_terms(F.col("heading")).alias("q"))
 
 
 @query(f"SELECT a.query_id, b.page_id FROM {_ASKED} a JOIN {_TOLD} b ON a.key = b.key")
 def heading_exact(spark, d):
     told = _page_headings(spark, d).select("page_id", T.heading_key(F.col("heading")).alias("key"))
-    return told.join(F.broadcast(_asked_headings(spark, d)), F.col("key") == F.col("asked")).select("query_id", "page_id")
+    return told.join(_asked_headings(spark, d), F.col("key") == F.col("asked")).select("query_id", "page_id")
 
 
 @query(f"""SELECT query_id, page_id, tier, score, row_number() OVER (PARTITION BY query_id ORDER BY tier DESC, score DESC, page_id) AS rank FROM (
@@ -230,9 +230,13 @@ def heading_exact(spark, d):
 def heading_fuzzy(spark, d):
     """Exact keys first, then headings whose terms overlap by half at least; eight for each of a stated set of questions."""
     told = _page_headings(spark, d).select("page_id", T.heading_key(F.col("heading")).alias("key"), T.similarity_terms(F.col("heading")).alias("t"))
-    met = told.crossJoin(F.broadcast(_asked_headings(spark, d)))
-    same = F.col("key") == F.col("asked")
-    scored = met.select("query_id", "page_id", same.alias("same"), F.round(T.term_overlap(F.col("q"), F.col("t")), 6).alias("s")).where("same OR s >= 0.5")
+    asked = _asked_headings(spark, d)
+    same = told.join(asked, F.col("key") == F.col("asked")).select("query_id", "page_id", F.lit(True).alias("same"), F.lit(1.0).alias("s"))
+    words = told.select("page_id", F.size("t").alias("nt"), F.explode("t").alias("w")).join(asked.select("query_id", F.size("q").alias("nq"), F.explode("q").alias("w")), "w")
+    least = F.least(F.first("nt"), F.first("nq"))
+    alike = words.groupBy("query_id", "page_id").agg(F.round(F.count(F.lit(1)) / least * F.when(least == 1, 0.7).otherwise(1.0), 6).alias("s")).where("s >= 0.5")
+    both = same.unionByName(alike.select("query_id", "page_id", F.lit(False).alias("same"), "s"))
+    scored = both.groupBy("query_id", "page_id").agg(F.bool_or("same").alias("same"), F.max("s").alias("s"))
     ranked = scored.select("query_id", "page_id", F.when(F.col("same"), 2).otherwise(1).cast("long").alias("tier"), F.when(F.col("same"), 1.0).otherwise(F.col("s")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("tier"), F.desc("score"), "page_id")
     return ranked.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 8")

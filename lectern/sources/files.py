@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -56,3 +57,18 @@ def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     if note["schema"] != SCHEMA_VERSION:
         raise IndexMismatch(f"index schema {note['schema']}, expected {SCHEMA_VERSION}")
     return {name: spark.read.parquet(f"{folder}/{note['version']}/{name}") for name in note["tables"]}
+
+
+_LOCAL: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where tables of a session go: the folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset and the session is local."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    if not _LOCAL:
+        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="lectern-"))
+    return _LOCAL[0]

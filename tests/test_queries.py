@@ -32,3 +32,21 @@ def test_top_lists_stop_early(spark):
 
     scored = spark.createDataFrame([(1, 2, 0.5)], "q long, k long, score double")
     assert "WindowGroupLimit" in lexical.top(scored, ["q"], "k", 3)._jdf.queryExecution().toString()
+
+
+def test_lexical_index_in_blocks_and_by_state(spark, tmp_path, monkeypatch):
+    from lectern.operators import lexical
+
+    rows = [(1, "red fish blue fish"), (2, "one fish"), (3, None), (4, ""), (5, "Blue whale"), (None, "red red")]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, "id long, text string").write.parquet(path)
+    questions = spark.createDataFrame([(7, "fish fish"), (8, "blue"), (9, "nothing here"), (10, "")], "q long, text string")
+    one = lexical.index(spark.read.parquet(path), "id")
+    assert lexical.index(spark.read.parquet(path), "id").chunks.inputFiles() == one.chunks.inputFiles()
+    best = sorted((r["q"], r["rank"], r["id"]) for r in lexical.search(one, questions, "q", 2).collect())
+    assert best == [(7, 1, 1), (7, 2, 2), (8, 1, 5), (8, 2, 1)]
+    monkeypatch.setattr(lexical, "ASKED", 1)
+    assert sorted((r["q"], r["rank"], r["id"]) for r in lexical.search(one, questions, "q", 2).collect()) == best
+    spark.createDataFrame([(6, "fish")], "id long, text string").write.mode("append").parquet(path)
+    assert lexical.index(spark.read.parquet(path), "id").chunks.count() == 7  # other files, another index
+    assert lexical.search(lexical.index(spark.createDataFrame([], "id long, text string"), "id"), questions, "q", 2).count() == 0
