@@ -11,10 +11,12 @@ _LOCAL: list[str] = []
 
 
 def root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``; a local one only where that is unset and the session is local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not (spark.sparkContext.master + "[").startswith("local["):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     if not _LOCAL:
         _LOCAL.append("file://" + tempfile.mkdtemp(prefix="lectern-"))
     return _LOCAL[0]
