@@ -290,3 +290,18 @@ def test_op6_passages_around_a_common_line(spark):
     got = compact_windows.passages(spark.createDataFrame(docs, "doc_id long, text string")).toPandas()
     assert {(min(a, b) // 10, max(a, b) // 10) for a, b in zip(got.doc_id, got.other_id, strict=True)} == {(100 + g, 100 + g) for g in range(10)}
     assert set(got.doc_id) | set(got.other_id) == {k for k, _ in docs if k >= 1000}
+
+
+def test_op6_only_stretches_that_can_match_have_windows(spark):
+    """Documents that share one line and nothing else have no windows, however many they are; shared passages have, wherever they stand."""
+    r = random.Random(6)
+    fresh = lambda k: [f"n{r.randrange(10**9)}" for _ in range(k)]
+    line, passage = fresh(20), fresh(60)
+    docs = [(k, " ".join(fresh(70) + line + fresh(70))) for k in range(60)]
+    held = [(100 + k, " ".join(fresh(30 * k) + passage + fresh(10))) for k in range(3)]
+    for n in (1, 7):
+        got = compact_windows._windows(spark.createDataFrame(docs + held, "k long, text string").repartition(n)).collect()
+        assert {x["doc"] for x in got} == {100, 101, 102}
+        spans = {(x["doc"] - 100, x["lc"] >> 32, x["r"]) for x in got}
+        assert all(30 * k <= lo and hi < 30 * k + 56 for k, lo, hi in spans)  # cut at the places that are shared
+        assert {30 * k for k in range(3)} == {min(lo for k, lo, _ in spans if k == d) for d in range(3)}
