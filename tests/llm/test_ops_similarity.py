@@ -305,3 +305,29 @@ def test_op6_only_stretches_that_can_match_have_windows(spark):
         spans = {(x["doc"] - 100, x["lc"] >> 32, x["r"]) for x in got}
         assert all(30 * k <= lo and hi < 30 * k + 56 for k, lo, hi in spans)  # cut at the places that are shared
         assert {30 * k for k in range(3)} == {min(lo for k, lo, _ in spans if k == d) for d in range(3)}
+
+
+def test_op6_every_pair_of_a_small_cluster_has_its_row(spark):
+    """Edited copies that were verified with the same head are compared with each other too."""
+    docs = clusters(12, 40)
+    got = compact_windows.passages(spark.createDataFrame([x[:2] for x in docs], "doc_id long, text string").repartition(3)).toPandas()
+    assert set(zip(got.doc_id, got.other_id, strict=True)) == {(g * 10 + i, g * 10 + j) for g in range(40) for i in range(4) for j in range(i)}
+
+
+def test_op6_stretches_that_edits_part_are_compared_whole():
+    """Similar passages whose longest equal runs are shorter than a passage."""
+    rng = np.random.default_rng(3)
+    tried = 0
+    for _ in range(1500):
+        a = rng.integers(1, 1 << 31, int(rng.integers(50, 144)))
+        b = a.copy()
+        for i in rng.choice(len(a), int(rng.integers(0, 7)), False):
+            b[i] = rng.integers(1, 1 << 31)
+        a, b = (np.array([hash(tuple(w[i : i + 5].tolist())) & 0xFFFFFFFF for i in range(len(w) - 4)], np.uint64) for w in (a, b))
+        both = len(np.intersect1d(a, b))
+        if 100 * both < 75 * (len(a) + len(b) - both) or a[0] != b[0] or a[-1] != b[-1]:
+            continue
+        tried += 1
+        a, b = (np.concatenate((rng.integers(1, 1 << 32, 30).astype(np.uint64), x, rng.integers(1, 1 << 32, 30).astype(np.uint64))) for x in (a, b))
+        assert compact_windows.compare(a, b)
+    assert tried > 300
