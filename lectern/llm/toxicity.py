@@ -9,8 +9,10 @@ with whole words alone 0.75 and 0.997.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,10 @@ STARTS, MARK = (4, 5, 6), "+"
 LEAST_DOCUMENTS = 10
 #: Penalty on the sum of absolute weights that selects features, the one for the fit of those selected, and steps.
 PENALTY, REFIT_PENALTY, STEPS = 0.004, 0.00001, 1500
+#: Terms, or rows of documents' terms, that training looks at together on the driver.
+BLOCK = 50_000
+#: Counters by which features that are too rare are left out before they are named.
+COUNTERS = 1 << 20
 #: Words that a worker remembers the features of.
 MEMO = 500_000
 #: A feature is indicative when it is so many times as frequent in toxic documents as in others.
@@ -144,6 +150,42 @@ def select(grades: np.ndarray, row: np.ndarray, word: np.ndarray, value: np.ndar
         pull = slope(s[np.arange(len(s)), grades], s[np.arange(len(s)), grades + 1])
 
 
+def _common_features(terms: pa.Array, documents: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Features that may have LEAST_DOCUMENTS documents, ascending; the features of each term one behind the other, and where each term's begin, with the end.
+
+    documents: of each term. Their sum over the terms of a feature is at least the feature's own number.
+    """
+    counters = [0] * COUNTERS  # features that share one get too much, which costs memory only
+    for i in range(0, len(terms), BLOCK):
+        for term, n in zip(terms.slice(i, BLOCK).to_pylist(), documents[i : i + BLOCK].tolist(), strict=True):
+            for x in features(term):
+                counters[crc32(x.encode()) % COUNTERS] += n
+    names = sorted({x for i in range(0, len(terms), BLOCK) for term in terms.slice(i, BLOCK).to_pylist() for x in features(term) if counters[crc32(x.encode()) % COUNTERS] >= LEAST_DOCUMENTS})
+    del counters
+    place = {x: i for i, x in enumerate(names)}
+    flat, size = array("i"), array("i")
+    for i in range(0, len(terms), BLOCK):
+        for term in terms.slice(i, BLOCK).to_pylist():
+            own = [place[x] for x in features(term) if x in place]
+            flat.extend(own)
+            size.append(len(own))
+    return names, np.array(flat, np.int32), np.concatenate(([0], np.cumsum(np.array(size, np.int64))))
+
+
+def _counts(row: np.ndarray, which: np.ndarray, count: np.ndarray, flat: np.ndarray, begin: np.ndarray, n_names: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, count) of the terms (row ascending, which, count), ordered by row and feature; some rows at a time."""
+    parts, i = [], 0
+    while i < len(row):
+        j = int(np.searchsorted(row, row[min(i + BLOCK, len(row)) - 1], side="right"))
+        own = which[i:j]
+        n = begin[own + 1] - begin[own]
+        word = flat[np.repeat(begin[own] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        key, back = np.unique(np.repeat(row[i:j].astype(np.int64), n) * max(1, n_names) + word, return_inverse=True)
+        parts.append(((key // max(1, n_names)).astype(np.int32), (key % max(1, n_names)).astype(np.int32), np.bincount(back, np.repeat(count[i:j], n), len(key))))
+        i = j
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (row, which, count.astype(float))
+
+
 def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic 0/1 (null: no label). Without toxic labels every document is clean.
 
@@ -165,19 +207,14 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Mode
         return Model({}, [40.0, 41.0])
     words = table.column("words").combine_chunks()
     coded = words.flatten().dictionary_encode()
-    which = np.asarray(coded.indices, dtype=np.int64)
-    row = np.repeat(np.arange(len(toxic)), np.diff(np.asarray(words.offsets)))
-    count_ = np.asarray(table.column("counts").combine_chunks().flatten(), dtype=float)
-    made = [features(x) for x in coded.dictionary.to_pylist()]
-    names = sorted({x for own in made for x in own})
-    place = {x: i for i, x in enumerate(names)}
-    size = np.array([len(own) for own in made], np.int64)
-    flat, begin = np.array([place[x] for own in made for x in own], np.int64), np.cumsum(size) - size
-    n = size[which]
-    word = flat[np.repeat(begin[which] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-    key, back = np.unique(np.repeat(row, n) * len(names) + word, return_inverse=True)
-    count_ = np.bincount(back, np.repeat(count_, n), len(key))
-    row, word = key // max(1, len(names)), key % max(1, len(names))
+    which = np.asarray(coded.indices)
+    row = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(np.asarray(words.offsets)))
+    count_ = np.asarray(table.column("counts").combine_chunks().flatten())
+    terms = coded.dictionary
+    del table, words, coded
+    names, flat, begin = _common_features(terms, np.bincount(which, minlength=len(terms)))
+    del terms
+    row, word, count_ = _counts(row, which, count_, flat, begin, len(names))
     keep = (np.bincount(word, minlength=len(names)) >= LEAST_DOCUMENTS)[word]
     best, word = np.unique(word[keep], return_inverse=True)
     row, count_ = row[keep], count_[keep]
@@ -185,7 +222,10 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Mode
     picked = select(grades, row, word, 1 + np.log(count_), len(best))
     among = np.isin(word, picked)  # the selecting penalty shrinks weights, so those that remain are fitted again
     w, cuts = fit(grades, row[among], np.searchsorted(picked, word[among]), 1 + np.log(count_[among]), len(picked), REFIT_PENALTY)
-    return Model({names[best[i]]: float(x) for i, x in zip(picked, w, strict=True)}, [float(c) for c in cuts])
+    model = Model({names[best[i]]: float(x) for i, x in zip(picked, w, strict=True)}, [float(c) for c in cuts])
+    del row, word, count_, keep, among, names, flat, begin, which
+    memory.give_back()  # to the driver's later stages
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 
 import pandas as pd
 import pytest
@@ -45,6 +46,19 @@ def test_stages_against_plain_versions(spark):
     pd.testing.assert_frame_equal(whole[cols].sort_values(cols).reset_index(drop=True), e1[cols].sort_values(cols).reset_index(drop=True))
 
 
+def test_training_takes_little_memory_on_the_driver(spark):
+    """Words of single documents are most of the vocabulary; no feature of theirs is held."""
+    docs = [(k, " ".join([f"{''.join(chr(97 + int(c)) for c in str(k * 1000 + i))}word" for i in range(1000)] + (["vile", "nasty"] if k % 2 else ["kind", "good"]))) for k in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in docs], "doc_id long, toxic int")
+    tracemalloc.start()
+    model = toxicity.train(df, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.chances(["vile"])[0] > 0.5 > model.chances(["kind"])[0]
+    assert peak < 60_000_000
+
+
 @pytest.mark.parametrize("make", [cases.empty, cases.awkward])
 def test_stages_take_awkward_tables(spark, make):
     docs = make(spark)
