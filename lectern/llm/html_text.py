@@ -2,31 +2,35 @@
 
 Pages are ordered by host and URL path. A page's partner is the nearest page before or
 behind it, at most REACH pages away, that doesn't say nearly the same; of the two, the
-one whose path begins more alike. A longest common subsequence aligns all lines of the
+one whose path begins more alike. Where all within REACH say nearly the same, the
+search goes on to the ends of the host. A longest common subsequence aligns all lines of the
 two, and lines that both have are deleted. Markup is the exact check that follows:
 what stands in the article element stays also when the partner has it, since two
 articles may hold the same sentence, and what is left of menus, footers, adverts and
-the like goes also when the partner doesn't have it. Pages without a partner are
-cleaned by markup alone.
+the like goes also when the partner doesn't have it. Pages of a host without other
+text are cleaned by markup alone.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import html
 import re
 from bisect import bisect_right
 from collections import Counter
+from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm import memory
+from lectern.llm import memory, scratch
 
 OPEN, ARTICLE, FURNITURE = 0, 1, 2
 #: Share of the larger page's text, furniture apart, from which two pages are the same page.
 SAME = 0.9
-#: How many pages away, in URL order, a partner may be.
+#: How many pages away, in URL order, a partner is looked for at first.
 REACH = 8
 #: Parts of the URL order for each task, and keys looked at for each part to find its bounds.
 PARTS, SAMPLED = 4, 32
@@ -241,13 +245,86 @@ def _parts(keyed: DataFrame, n: int) -> tuple[list[str], dict[str, list[int]]]:
     return bounds, {k: sorted(p) for k, p in looked.items()}
 
 
+def _said(page: list[tuple[str, int]]) -> str:
+    return "\n".join(f"{z}{x}" for x, z in page)
+
+
+def _lines(said: str) -> list[tuple[str, int]]:
+    return [(x[1:], int(x[0])) for x in said.split("\n")] if said else []
+
+
+def _farther(keyed: DataFrame, rest: DataFrame) -> DataFrame:
+    """key, h, text, n_chars, near_url, n_deleted of the pages of rest (host, key, alone: the hash of what it says) whose host has a page that doesn't say nearly the same.
+
+    Neighbours that say just the same are one run. Each round looks REACH times as
+    many runs away, for each side until a partner or the host's end is found; what two
+    pages say is compared once in a round.
+    """
+
+    def parse(batches):
+        for batch in batches:
+            said = [_said(lines(x)) for x in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(said, pa.string()), pa.array([hashlib.md5(x.encode()).hexdigest() for x in said])], ["host", "key", "url", "path", "said", "h"])
+
+    own = keyed.join(rest.select("host").distinct(), "host", "left_semi").select("host", "key", "url", "path", "html")
+    pages = scratch.keep(own.mapInArrow(memory.tidy(parse), "host string, key string, url string, path string, said string, h string"), "pages-host")
+    order = Window.partitionBy("host").orderBy("key", "h")
+    new = F.coalesce((F.col("h") != F.lag("h").over(order)).cast("int"), F.lit(1))
+    placed = pages.select("host", "key", "h").distinct().withColumn("new", new).withColumn("run", F.sum("new").over(order)).select("host", "key", "h", "run")
+    placed = scratch.keep(placed, "pages-runs")
+    runs = placed.groupBy("host", "run", "h").agg(F.min("key").alias("first"), F.max("key").alias("last"))
+    texts = pages.groupBy("host", "h").agg(F.min("said").alias("said"))
+    ends = runs.groupBy("host").agg(F.max("run").alias("end"))
+    ask = placed.join(rest.select(F.col("key").alias("k"), "alone").distinct(), (F.col("key") == F.col("k")) & (F.col("h") == F.col("alone")), "left_semi").select("host", "run", "h").distinct().join(ends, "host")
+    sides = F.explode(F.array(F.lit(-1), F.lit(1))).alias("side")
+    open_, low, met = scratch.keep(ask.select("*", sides), "pages-open"), 0, []
+
+    def differ(batches):
+        for batch in batches:
+            unlike = [not same_page(_lines(a), _lines(b)) for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(unlike, pa.bool_())) for c in batch.columns[:3]], ["host", "h", "h2"])
+
+    while True:
+        high = max(REACH, low * REACH)
+        room = F.when(F.col("side") > 0, F.col("end") - F.col("run")).otherwise(F.col("run") - 1)
+        open_ = open_.where(room > low)
+        if open_.isEmpty():
+            break
+        asked = open_.select("host", "run", "h", "side", F.explode(F.sequence(F.lit(low + 1).cast("long"), F.least(room, F.lit(high).cast("long")))).alias("far"))
+        asked = asked.withColumn("to", F.col("run") + F.col("side") * F.col("far")).join(runs.select("host", F.col("run").alias("to"), F.col("h").alias("h2")), ["host", "to"])
+        both = asked.where("h <> h2").select("host", "h", "h2").distinct().join(texts, ["host", "h"]).join(texts.select("host", F.col("h").alias("h2"), F.col("said").alias("said2")), ["host", "h2"])
+        unlike = both.select("host", "h", "h2", "said", "said2").mapInArrow(memory.tidy(differ), "host string, h string, h2 string")
+        now = scratch.keep(asked.join(unlike, ["host", "h", "h2"]).groupBy("host", "run", "side").agg(F.min("far").alias("far")), "pages-met")
+        met.append(now)
+        open_, low = scratch.keep(open_.join(now, ["host", "run", "side"], "left_anti"), "pages-open"), high
+    hits = functools.reduce(DataFrame.unionByName, met) if met else ask.select("host", "run", F.lit(0).alias("side"), F.lit(0).cast("long").alias("far")).limit(0)
+    hits = hits.withColumn("to", F.col("run") + F.col("side") * F.col("far")).join(runs.select("host", F.col("run").alias("to"), "first", "last", F.col("h").alias("h2")), ["host", "to"])
+    one = pages.groupBy("host", "key", "h").agg(F.min(F.struct("path", "url", "said")).alias("page"))
+    partner = hits.select("host", "run", "side", F.when(F.col("side") > 0, F.col("first")).otherwise(F.col("last")).alias("key"), F.col("h2").alias("h")).join(one, ["host", "key", "h"])
+    partner = partner.groupBy("host", "run").agg(F.sort_array(F.collect_list(F.struct("side", "page"))).alias("near"))
+    asking = placed.join(rest.select(F.col("key").alias("k"), "alone").distinct(), (F.col("key") == F.col("k")) & (F.col("h") == F.col("alone")), "left_semi")
+    table = asking.join(partner, ["host", "run"]).join(one, ["host", "key", "h"]).select("key", "h", "page", "near")
+
+    def clean(batches):
+        for batch in batches:
+            out = []
+            for key, h, page, near in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                other = max((x["page"] for x in near), key=lambda x: _alike(x["path"], page["path"]))
+                text, deleted = main_text(_lines(page["said"]), _lines(other["said"]))
+                out.append((key, h, text, len(text), other["url"], deleted))
+            kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["key", "h", "text", "n_chars", "near_url", "n_deleted"])
+
+    return table.mapInArrow(memory.tidy(clean), "key string, h string, text string, n_chars long, near_url string, n_deleted long")
+
+
 def extract(pages: DataFrame, parts: int | None = None) -> DataFrame:
     """page_id, url, text, n_chars, near_url, n_deleted of every row of pages (page_id, url, html; other columns are ignored).
 
     Null html is empty and gives an empty text; a null URL has an empty host and
     path. Rows with the same URL are neighbours like others. Pages that are nearly
     the same (one page under several addresses) are no partners of each other; a page
-    with no other one within REACH is cleaned by markup alone. Texts don't depend on
+    whose host has no other one is cleaned by markup alone. Texts don't depend on
     the number of parts: pages go to tasks by parts of the order of (host, path,
     page_id), so that a host with very many pages spreads, and the REACH pages beside
     a part go there as well. n_deleted is the number of lines outside the article
@@ -264,11 +341,35 @@ def extract(pages: DataFrame, parts: int | None = None) -> DataFrame:
         for batch in batches:
             rows = []
             for page_id, url, page, host, path, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                said = "\n".join(f"{z}{x}" for x, z in lines(page))
+                said = _said(lines(page))
                 part = bisect_right(bounds, key)
                 rows += [(p, key, p == part, page_id, url, host, path, said) for p in {part, *looked.get(key, ())}]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds.values(), strict=True)], list(kinds))
 
+    def measure(batches):
+        bounds, looked = shared.value
+        for batch in batches:
+            rows = []
+            for page, host, key in zip(*(c.to_pylist() for c in batch.columns[2:4]), batch.column(5).to_pylist(), strict=True):
+                found = lines(page)
+                size, part = sum(len(x) for x, z in found if z != FURNITURE), bisect_right(bounds, key)
+                rows += [(p, key, p == part, host, size, hashlib.md5(_said(found).encode()).hexdigest()) for p in {part, *looked.get(key, ())}]
+            kinds = {"part": pa.int32(), "key": pa.string(), "own": pa.bool_(), "host": pa.string(), "n": pa.int64(), "h": pa.string()}
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds.values())], list(kinds))
+
+    def lone(batches):
+        alike = lambda x, y: x[5] == y[5] or min(x[4], y[4]) >= SAME * max(1, x[4], y[4])
+        page_rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, part in groupby(page_rows, key=lambda x: x[0]):
+            part = list(part)
+            out = []
+            for i, x in enumerate(part):
+                if x[2]:
+                    near = [y for y in part[max(0, i - REACH) : i] + part[i + 1 : i + 1 + REACH] if y[3] == x[3]]
+                    if near and all(alike(x, y) for y in near):
+                        out.append((x[3], x[1], x[5]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in range(3)], ["host", "key", "alone"])
+
     def clean(batches):
         rows: list[tuple] = []
         size = 0
@@ -281,11 +382,12 @@ def extract(pages: DataFrame, parts: int | None = None) -> DataFrame:
             near = [x for x in (partner(page, reversed(around[max(0, at - REACH) : at])), partner(page, around[at + 1 : at + 1 + REACH])) if x is not None]
             other = max(near, key=lambda x: _alike(x[6], page[6]), default=None)
             text, deleted = main_text(page[7], other and other[7])
-            return page[3], page[4], text, len(text), other and other[4], deleted
+            alone = None if other else hashlib.md5(_said(page[7]).encode()).hexdigest()
+            return page[3], page[4], text, len(text), other and other[4], deleted, page[5], page[1], alone
 
         def batch_of(rows):
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "url", "text", "n_chars", "near_url", "n_deleted"])
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "url", "text", "n_chars", "near_url", "n_deleted", "host", "key", "alone"])
 
         window: list[tuple] = []  # pages of one part: REACH decided ones, then those that wait for REACH behind them
         done = 0
@@ -307,7 +409,7 @@ def extract(pages: DataFrame, parts: int | None = None) -> DataFrame:
                     settle(len(window))
                     window.clear()
                     done = 0
-                page = (*row[:7], [(x[1:], int(x[0])) for x in row[7].split("\n")] if row[7] else [])
+                page = (*row[:7], _lines(row[7]))
                 window.append(page)
                 settle(len(window) - REACH)
                 if len(rows) >= 4000 or size > 8_000_000:
@@ -319,7 +421,18 @@ def extract(pages: DataFrame, parts: int | None = None) -> DataFrame:
 
     said = keyed.mapInArrow(memory.tidy(parse), "part int, key string, own boolean, page_id long, url string, host string, path string, said string")
     dealt = said.repartition(n, "part").sortWithinPartitions("part", "key", "url", "said")
-    return dealt.mapInArrow(memory.tidy(clean), "page_id long, url string, text string, n_chars long, near_url string, n_deleted long")
+    cleaned = dealt.mapInArrow(memory.tidy(clean), "page_id long, url string, text string, n_chars long, near_url string, n_deleted long, host string, key string, alone string")
+    names = ["page_id", "url", "text", "n_chars", "near_url", "n_deleted"]
+    # Pages that may have no partner within REACH, by the sizes of what they say: few, and found without moving texts.
+    sized = keyed.mapInArrow(memory.tidy(measure), "part int, key string, own boolean, host string, n long, h string")
+    rest = scratch.keep(sized.repartition(n, "part").sortWithinPartitions("part", "key", "h").mapInArrow(memory.tidy(lone), "host string, key string, alone string"), "pages-alike")
+    if rest.isEmpty():
+        return cleaned.select(names)
+    found = scratch.keep(_farther(keyed, rest), "pages-far")
+    rest = cleaned.where("alone IS NOT NULL")
+    changed = rest.select("page_id", "url", F.col("key").alias("k"), "alone", *(F.col(c).alias("_" + c) for c in names[2:])).join(found, (F.col("k") == F.col("key")) & (F.col("alone") == F.col("h")), "left")
+    changed = changed.select("page_id", "url", *(F.when(F.col("h").isNull(), F.col("_" + c)).otherwise(F.col(c)).alias(c) for c in names[2:]))
+    return cleaned.where("alone IS NULL").select(names).unionByName(changed)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

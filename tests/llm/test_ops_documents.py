@@ -393,6 +393,20 @@ def test_op9_one_page_under_two_addresses(spark):
     assert "Six" + text in got[5]["text"] and got[5]["near_url"] is None
 
 
+def test_op9_partners_stand_behind_any_number_of_copies(spark):
+    page = lambda own, last="": f"<body><div>Site name</div><div><p>{own} and so on to the end of a text that is longer than what stands around it, twice as long as that and more</div><div>All rights reserved</div>{last}</body>"
+    rows = [(i, f"http://h/m?x={i}", page("One")) for i in range(30)] + [(100 + i, f"http://h/n/{i:02}", page("One", f"<p>12:{i:02}")) for i in range(90)]
+    rows += [(300, "http://h/z", page("Two")), (400, "http://twin/a", page("Six"))] + [(401 + i, f"http://twin/b{i}", page("Six")) for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = " and so on to the end of a text that is longer than what stands around it, twice as long as that and more"
+    for n, p in ((1, 1), (4, 30)):
+        got = {r["page_id"]: r for r in html_text.extract(df.repartition(n), parts=p).collect()}
+        assert len(got) == len(rows)
+        assert all(got[k]["text"] == "One" + text and got[k]["near_url"] == "http://h/z" for k in range(30))
+        assert all(got[100 + i]["text"] == f"One{text}\n12:{i:02}" and got[100 + i]["n_deleted"] == 2 for i in range(90))
+        assert got[300]["text"] == "Two" + text and all("Site name" in got[400 + i]["text"] and got[400 + i]["near_url"] is None for i in range(21))
+
+
 def test_op9_texts_do_not_depend_on_parts(spark):
     r = random.Random(2)
     page = lambda i: f"<body><div>Site name</div><div>Section {i // 7}</div><p>Own text of page {i} " + "and more " * r.randrange(30) + f"</p><div>{'Read on' if i % 3 else 'Stop'}</div><div>All rights reserved</div></body>"
