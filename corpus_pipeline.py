@@ -40,7 +40,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The memo is small: the executor's memory still holds what the stages before left in the JVM.
     """
-    return packing.pack_documents(docs, memo=100_000, group=2_000_000)
+    return packing.pack_documents(docs, memo=100_000, group=1_000_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -51,6 +51,8 @@ TOGETHER = 512
 BLOCK_NODES = 128
 #: Requests for one node's set that one row of the scan serves.
 SERVED = 256
+#: Bytes of text that a worker cuts into shingles at a time, bytes of sets that it hands on together, and rows of sets that it reads together. A worker's memory counts with its executor's.
+SCANNED, SENT, READ = 1_000_000, 4_000_000, 256
 _SET = "kind int, k long, h long, n long, node long, proof long, block int, counts binary"
 _ROW = "token long, node long, n int, end long, pos int"
 #: Rows that may be sent to every executor; beyond, the join shuffles.
@@ -80,6 +82,18 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
+def _count(counts: np.ndarray, shingles_: np.ndarray) -> None:
+    """Adds to counts how many of the shingles have each low bits."""
+    low, n = np.unique(shingles_ & np.uint64(len(counts) - 1), return_counts=True)
+    counts[low.astype(np.int64)] += n.astype(np.uint32)
+
+
+def _rows(batch: pa.RecordBatch):
+    """The rows of a batch, READ of them as Python objects at a time."""
+    for i in range(0, batch.num_rows, READ):
+        yield from zip(*(c.to_pylist() for c in batch.slice(i, READ).columns), strict=True)
+
+
 def _batch(columns: dict, schema: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], t) for c, t in schema.items()], list(schema))
 
@@ -92,12 +106,12 @@ def sets(docs: DataFrame, bits: int = 64) -> DataFrame:
         counts, seen = np.zeros(COUNTERS, np.uint32), set()
         for batch in batches:
             ids, h, texts = batch.column(0), batch.column(1), batch.column(2)
-            for a, b in tokens.groups(texts):
+            for a, b in tokens.groups(texts, SCANNED):
                 own = shingles.distinct(texts.slice(a, b - a))
                 marks = [_node(s, bits) if len(s) else (0, 0) for s in own]
                 fresh = [s for s, m in zip(own, marks, strict=True) if len(s) and not (m in seen or seen.add(m))]
                 if fresh:
-                    counts += np.bincount((np.concatenate(fresh) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                    _count(counts, np.concatenate(fresh))
                 n = b - a
                 yield _batch({"kind": [0] * n, "k": ids.slice(a, n), "h": h.slice(a, n), "n": [len(s) for s in own], "node": [m[0] for m in marks], "proof": [m[1] for m in marks], "block": [None] * n, "counts": [None] * n}, kinds)
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -162,7 +176,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, names: Names) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             texts = batch.column(0)
-            for a, b in tokens.groups(texts, 4_000_000):
+            for a, b in tokens.groups(texts, SCANNED):
                 out: list[tuple[np.ndarray, int, int, int]] = []
                 for s in shingles.distinct(texts.slice(a, b - a)):
                     if not len(s) or (m := names.of(s)) in seen:
@@ -229,11 +243,11 @@ def _served(docs: DataFrame, table: DataFrame, asks: DataFrame, names: Names) ->
     def scan(batches):
         for batch in batches:
             ids, texts, asked = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
-            for a, b in tokens.groups(texts, 4_000_000):
+            for a, b in tokens.groups(texts, SCANNED):
                 for m, s, own in zip(ids[a:b], shingles.distinct(texts.slice(a, b - a)), asked[a:b], strict=True):
                     if len(s) and names.of(s) == m:
                         data = s.tobytes()
-                        step = max(1, 16_000_000 // max(1, len(data)))
+                        step = max(1, SENT // max(1, len(data)))
                         for i in range(0, len(own), step):
                             part = own[i : i + step]
                             yield pa.RecordBatch.from_pydict({"x": pa.array([q["x"] for q in part], pa.int64()), "y": pa.array([q["y"] for q in part], pa.int64()), "b": pa.array([q["b"] for q in part], pa.int64()), "s": pa.array([data] * len(part), pa.binary())})
@@ -252,7 +266,7 @@ def links(pairs: DataFrame, docs: DataFrame, table: DataFrame, names: Names) ->
         a = part = head = last = None
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for x, p, b, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for x, p, b, s in _rows(batch):
                 own = np.frombuffer(s, np.uint64)
                 if b is None:
                     a, part, head, last = x, p, own, None
@@ -280,7 +294,7 @@ def dense_links(pairs: DataFrame, docs: DataFrame, table: DataFrame, names: Name
         place, held = None, {}
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for x, y, a, b, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for x, y, a, b, s in _rows(batch):
                 if (x, y) != place:
                     place, held = (x, y), {}
                 if b is None:

@@ -34,7 +34,9 @@ BLOCK = 50_000
 #: Counters by which features that are too rare are left out before they are named.
 COUNTERS = 1 << 20
 #: Words that a worker remembers the features of.
-MEMO = 500_000
+MEMO = 100_000
+#: Texts that a worker holds as Python objects at a time; its memory counts with its executor's.
+READ = 256
 #: A feature is indicative when it is so many times as frequent in toxic documents as in others.
 INDICATIVE = 8.0
 #: A document is rejected when its chance of any toxic grade reaches this.
@@ -43,6 +45,11 @@ REJECT = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _texts(column: pa.Array):
+    for i in range(0, len(column), READ):
+        yield from column.slice(i, READ).to_pylist()
+
+
 def _terms(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
@@ -240,7 +247,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def rate(batches):
         m = shared.value
         for batch in batches:
-            s = np.array([m.chances(_terms(t)) for t in batch.column(1).to_pylist()]).reshape(-1, len(m.cuts))
+            s = np.array([m.chances(_terms(t)) for t in _texts(batch.column(1))]).reshape(-1, len(m.cuts))
             each = np.hstack((np.ones((len(s), 1)), s)) - np.hstack((s, np.zeros((len(s), 1))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s[:, 0]), pa.array(s.sum(1)), pa.array(each.argmax(1).astype(np.int32)), pa.array(s[:, 0] >= REJECT)], ["doc_id", "p_toxic", "expected_severity", "grade", "toxic"])
 
@@ -254,7 +261,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
 
     def clean(batches):
         for batch in batches:
-            yield batch.filter(pa.array([bool(shared.value.chances(_terms(t))[0] < REJECT) for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([bool(shared.value.chances(_terms(t))[0] < REJECT) for t in _texts(batch.column(at))], pa.bool_()))
 
     return docs.mapInArrow(memory.tidy(clean), docs.schema)
 

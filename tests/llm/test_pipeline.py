@@ -1,7 +1,9 @@
 import hashlib
 import tracemalloc
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("lectern.llm")
@@ -9,7 +11,7 @@ import cases  # noqa: E402
 from oracle import SF  # noqa: E402
 
 import corpus_pipeline as pipeline  # noqa: E402
-from lectern.llm import mixing, scratch, toxicity  # noqa: E402
+from lectern.llm import jaccard_join, mixing, scratch, toxicity  # noqa: E402
 
 
 def test_stages_against_plain_versions(spark):
@@ -59,6 +61,43 @@ def test_training_takes_little_memory_on_the_driver(spark):
     assert peak < 60_000_000
 
 
+def test_scans_of_the_join_take_little_memory_in_a_worker():
+    """Shingles are cut and counted little by little, however large a batch is; sets of many rows aren't all objects at once."""
+
+    class Rows:
+        """Takes the function that mapInArrow gets."""
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):
+            return f
+
+    texts = [" ".join(f"w{(k * 7919 + i * i) % 50_021}" for i in range(1000)) for k in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500), pa.int64()), pa.array(range(1500), pa.int64()), pa.array(texts)], ["k", "h", "text"])
+    scan = jaccard_join.sets(Rows())
+    tracemalloc.start()
+    found = sum(out.num_rows for out in scan(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 1500 + jaccard_join.COUNTERS // jaccard_join.BLOCK and peak < 50_000_000
+
+    rows = pa.RecordBatch.from_arrays([pa.array(range(4000), pa.int64()), pa.array([b"x" * 10_000] * 4000)], ["b", "s"])
+    tracemalloc.start()
+    assert [b for b, _ in jaccard_join._rows(rows)] == list(range(4000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10_000_000
+
+
+def test_sketch_counts_are_those_of_every_shingle():
+    counts = np.zeros(1 << 8, np.uint32)
+    values = np.random.default_rng(5).integers(0, 1 << 63, 5000).astype(np.uint64)
+    for part in np.split(values, [10, 10, 3000]):
+        jaccard_join._count(counts, part)
+    assert (counts == np.bincount((values & np.uint64(255)).astype(np.int64), minlength=256)).all()
+
+
 @pytest.mark.parametrize("make", [cases.empty, cases.awkward])
 def test_stages_take_awkward_tables(spark, make):
     docs = make(spark)
