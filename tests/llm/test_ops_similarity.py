@@ -1,6 +1,8 @@
 import collections
 import hashlib
+import pathlib
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -11,7 +13,7 @@ from oracle import SF  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import cases  # noqa: E402
-from lectern.llm import compact_windows, components, jaccard_join, weighted_sampling  # noqa: E402
+from lectern.llm import compact_windows, components, jaccard_join, scratch, weighted_sampling  # noqa: E402
 
 
 def near_copies(seed, groups=12, size=6, words=120):
@@ -331,3 +333,18 @@ def test_op6_stretches_that_edits_part_are_compared_whole():
         a, b = (np.concatenate((rng.integers(1, 1 << 32, 30).astype(np.uint64), x, rng.integers(1, 1 << 32, 30).astype(np.uint64))) for x in (a, b))
         assert compact_windows.compare(a, b)
     assert tried > 300
+
+
+def test_scratch_tables_leave_no_shuffle_files(spark):
+    """What a scratch table's write shuffled goes with the query, not with the driver's garbage; the setting is as before."""
+    spark.range(1).count()  # executors have their folders
+    folders = [pathlib.Path(x) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    held = lambda: {f.name for d in folders for f in d.rglob("shuffle_*.data")}
+    before, setting = held(), spark.conf.get(scratch.CLEANUP, None)
+    df = spark.range(50_000).selectExpr("id", "id % 7 AS k").repartition(3, "k")
+    kept = [scratch.keep(df, "t"), scratch.keep(df.groupBy("k").agg(F.sum("id").alias("s")), "t")]
+    deadline = time.time() + 10
+    while held() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not held() - before and spark.conf.get(scratch.CLEANUP, None) == setting
+    assert kept[0].count() == df.count() == 50_000 and kept[1].count() == 7
