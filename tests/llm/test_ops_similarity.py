@@ -348,3 +348,33 @@ def test_scratch_tables_leave_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not held() - before and spark.conf.get(scratch.CLEANUP, None) == setting
     assert kept[0].count() == df.count() == 50_000 and kept[1].count() == 7
+
+
+def test_op6_a_repeating_text_has_one_window_of_a_value(spark):
+    """Texts that say a line over and over meet once for each value, not once for each place, and are found."""
+    r = random.Random(8)
+    fresh = lambda k: [f"n{r.randrange(10**9)}" for _ in range(k)]
+    lines = [fresh(1), fresh(2), fresh(9)]
+    docs = [(10 * g + k, " ".join(fresh(30) + line * ((300 + 40 * k) // len(line)) + fresh(30))) for g, line in enumerate(lines) for k in range(4)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    cut = collections.Counter((x["doc"], x["v"]) for x in compact_windows._windows(df.withColumnRenamed("doc_id", "k").repartition(3)).collect())
+    assert {d for d, _ in cut} == {k for k, _ in docs} and set(cut.values()) == {1}
+    got = compact_windows.passages(df.repartition(3)).toPandas()
+    pairs = set(zip(got.doc_id, got.other_id, strict=True))
+    assert {(10 * g + k, 10 * g) for g in range(3) for k in range(1, 4)} <= pairs and all(a // 10 == b // 10 for a, b in pairs)
+
+
+def test_op6_tied_windows_hold_the_same_passages():
+    rng = np.random.default_rng(2)
+    for _ in range(100):
+        n = int(rng.integers(60, 260))
+        h = rng.integers(1, int(rng.integers(2, 9)), n).astype(np.uint64) << np.uint64(30)
+        h[rng.random(n) < 0.01] = 0
+        l, c, r = compact_windows.windows(h)
+        made = list(zip(*(x.tolist() for x in compact_windows.tied(h[c], l, c, r)), strict=True))
+        assert len(made) <= len(c)
+        for a, b, e in zip(l.tolist(), c.tolist(), r.tolist(), strict=True):  # each window lies in a tied one of its value, its centre among those
+            assert any(h[y] == h[b] and x <= a and e <= w and y <= b <= z for x, y, z, w in made)
+        for x, y, z, w in made:  # which holds no less hash, and a centre in every LEAST places between the first and the last
+            assert h[x : w + 1].min() == h[y] == h[z]
+            assert np.diff(np.flatnonzero(h[y : z + 1] == h[y])).max(initial=0) <= compact_windows.LEAST
