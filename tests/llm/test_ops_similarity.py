@@ -378,3 +378,37 @@ def test_op6_tied_windows_hold_the_same_passages():
         for x, y, z, w in made:  # which holds no less hash, and a centre in every LEAST places between the first and the last
             assert h[x : w + 1].min() == h[y] == h[z]
             assert np.diff(np.flatnonzero(h[y : z + 1] == h[y])).max(initial=0) <= compact_windows.LEAST
+
+
+def test_op6_rare_shingles_part_what_a_common_line_groups(spark):
+    """Stretches that have a common line and a filler of their own: only those of one filler have a rare shingle in common, and each two of these have."""
+    r = random.Random(10)
+    fresh = lambda k: [f"n{r.randrange(10**9)}" for _ in range(k)]
+    line, docs = fresh(14), []
+    for g in range(30):
+        filler = fresh(1)
+        docs += [(10 * g + k, " ".join(filler * (60 + k) + line + fresh(30))) for k in range(1 + g % 3)]
+    df = spark.createDataFrame(docs, "k long, text string")
+    left = compact_windows._rare(df.repartition(3), compact_windows._windows(df))
+    holders = collections.defaultdict(set)
+    for x in left.collect():
+        holders[x["v"]].add(x["doc"])
+    assert {frozenset(h) for h in holders.values()} == {frozenset(10 * g + k for k in range(1 + g % 3)) for g in range(30) if g % 3}
+    got = compact_windows.passages(df.withColumnRenamed("k", "doc_id")).toPandas()
+    assert set(zip(got.doc_id, got.other_id, strict=True)) >= {(10 * g + k, 10 * g) for g in range(30) for k in range(1, 1 + g % 3)}
+    assert all(a // 10 == b // 10 for a, b in zip(got.doc_id, got.other_id, strict=True))
+
+
+def test_op6_dense_stretches_meet_by_a_rare_shingle():
+    rng = np.random.default_rng(5)
+    tried = 0
+    for _ in range(400):
+        pool = rng.integers(0, 60, 60)
+        a, b = (np.where(rng.random(n) < 0.9, pool[(np.arange(n) + int(rng.integers(0, 3))) % len(pool)], rng.integers(60, 400, n)).astype(np.uint64) for n in rng.integers(46, 140, 2).tolist())
+        many = lambda x: (x * np.uint64(2654435761) % np.uint64(97)).astype(np.int64) + 2
+        dense = lambda x, y: np.convolve(np.isin(x, y), np.ones(compact_windows.LEAST, int), "valid").max() >= compact_windows.NEEDED
+        if dense(a, b) and dense(b, a):
+            tried += 1
+            one, two = (set(x[compact_windows.rare(len(x), many(x), x, np.arange(len(x)))].tolist()) for x in (a, b))
+            assert one & two
+    assert tried > 100
