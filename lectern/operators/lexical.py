@@ -145,6 +145,6 @@ def _best(chunks: DataFrame, weighed: pa.Table, mean: float, k: int) -> DataFram
 
 
 def top(scored: DataFrame, group: list[str], key: str, k: int, score: str = "score", ascending: bool = False, rank: str = "rank") -> DataFrame:
-    """The first k of each group by score, ties by key; the engine stops at k while it sorts."""
-    order = F.col(score).asc() if ascending else F.col(score).desc()
-    return scored.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(order, F.col(key))).cast("long")).where(F.col(rank) <= k)
+    """The first k of each group by score, ties by key, nulls last in both; the engine stops at k while it sorts."""
+    order = F.col(score).asc_nulls_last() if ascending else F.col(score).desc()
+    return scored.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(order, F.col(key).asc_nulls_last())).cast("long")).where(F.col(rank) <= k)
