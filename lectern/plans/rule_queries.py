@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lectern.operators import evidence
+from lectern.operators import evidence, vectors
 from lectern.plans.search_queries import _CHUNKS, _chunks
 from lectern.plans.text_queries import literal, values
 from lectern.registry import query, table
@@ -98,10 +98,6 @@ FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q WHERE e.l
 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_sum(list_transform(range(1, 65), lambda i: CAST(e.embedding[i] AS DOUBLE) * CAST(q.embedding[i] AS DOUBLE))), 6) DESC, e.vec_id) <= 8""")
 def semantic_fallback(spark, d):
     """The eight vectors most alike to each of a stated set, leaving out those already matched (here: of the same label)."""
-    from lectern.operators import lexical
-
     e = table(spark, d, "embeddings")
     asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("wanted"), F.col("label").alias("known"))
-    dot = F.aggregate(F.zip_with("embedding", "wanted", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = e.join(F.broadcast(asked), F.col("label") != F.col("known")).select("query_id", "vec_id", F.round(dot, 6).alias("likeness"))
-    return lexical.top(scored, ["query_id"], "vec_id", 8, "likeness").drop("rank")
+    return vectors.likest(e, "vec_id", "embedding", asked, "query_id", "wanted", 8, apart=("label", "known")).drop("rank")
